@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, html_extract, langid, quality, text as T, url_filter
+from . import chat, hnsw, html_extract, langid, packing, probminhash, quality, text as T, url_filter
 
 URL_RULES: list[url_filter.Rule] = [
     ("allow", "com", "/"),
@@ -25,16 +25,34 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold_of(doc_id) == 2, F.lit(False))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(T.table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(T.table(spark, sf_dir, "pages"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     return chat.conversation_digests(talks.unionByName(tricky))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(T.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(documents, T.table(spark, sf_dir, "labels"), ~held_out())
@@ -52,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extraction, op4_chat_formatting, op7_quality_classifier, op8_url_filters, op10_language_id)
+    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, op10_language_id)
 }
 
 _ESCAPED = r"""regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|OUT\])', '\1\2\\\3', 'g')"""
