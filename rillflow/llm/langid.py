@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
 
-PER_LANGUAGE = 600
-BITS = 14
+PER_LANGUAGE = 500
+BITS = 13
+SCALE = np.float32(30.0)
 # Language families by code; a language not named is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
@@ -62,7 +63,7 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of gram shares (square roots, unit length) for each text."""
+    """One row of gram shares for each text."""
     out = np.zeros((len(offsets) - 1, 1 << BITS), np.float32)
     for i in range(len(out)):
         b, _ = grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
@@ -74,22 +75,22 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def linear_svm(x: np.ndarray, y: np.ndarray, epochs: int = 60, c: float = 10.0) -> tuple[np.ndarray, float, float]:
     """Squared-hinge SVM (y is +1 or -1) by dual coordinate descent; weights, bias, and scale of its margins."""
     rng = np.random.default_rng(7)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, a = np.zeros(x1.shape[1]), np.zeros(len(y))
-    own = (x1**2).sum(1) + 1 / (2 * c)
+    w, bias, a = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(y))
+    own = np.einsum("ij,ij->i", x, x) + 1 + 1 / (2 * c)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (x1[i] @ w) - 1 + a[i] / (2 * c)
+            g = y[i] * (float(x[i] @ w) + bias) - 1 + a[i] / (2 * c)
             new = max(a[i] - g / own[i], 0.0)
             if new != a[i]:
                 most = max(most, abs(new - a[i]))
-                w += (new - a[i]) * y[i] * x1[i]
+                w += np.float32((new - a[i]) * y[i]) * x[i]
+                bias += (new - a[i]) * y[i]
                 a[i] = new
         if most < 1e-3 * max(1.0, a.max()):
             break
-    margin = np.abs(x1 @ w)
-    return w[:-1].astype(np.float32), float(w[-1]), float(4.0 / max(np.median(margin), 1e-9))
+    margin = np.abs(x @ w + bias)
+    return w, bias, float(4.0 / max(np.median(margin), 1e-9))
 
 
 @dataclass
@@ -182,7 +183,8 @@ def train(documents: DataFrame, allowed: Column, per_language: int = PER_LANGUAG
     x = np.zeros((len(found), 1 << BITS), np.float32)
     for i, r in enumerate(found):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["v"], "<f4")
-    return fit([r["lang"] for r in found], x * 30.0)
+    x *= SCALE
+    return fit([r["lang"] for r in found], x)
 
 
 def identify(documents: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
@@ -206,7 +208,7 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str] | None =
                     g, row = grams(part, bounds)
                     count = np.maximum(np.bincount(row, minlength=j - i), 1)
                     for c in range(margins.shape[1]):
-                        margins[i:j, c] = np.bincount(row, model.weights[:, c][g], j - i) / count * 30.0 + model.bias[c]
+                        margins[i:j, c] = np.bincount(row, model.weights[:, c][g], j - i) / count * SCALE + model.bias[c]
             langs, score = model.score(margins) if model else (["und"] * n, np.zeros(n))
             for i in np.flatnonzero(~plain):
                 t = texts[int(i)].as_py()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, hnsw, html_extract, langid, packing, probminhash, quality, text as T, url_filter
+from . import chat, decontam, hnsw, html_extract, langid, packing, probminhash, quality, text as T, url_filter
 
 URL_RULES: list[url_filter.Rule] = [
     ("allow", "com", "/"),
@@ -63,6 +63,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(T.table(spark, sf_dir, "pages"), URL_RULES).drop("p_block")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(T.table(spark, sf_dir, "documents").select("doc_id", "text"), T.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(documents, ~held_out())
@@ -70,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, op10_language_id)
+    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, op9_benchmark_decontamination, op10_language_id)
 }
 
 _ESCAPED = r"""regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|OUT\])', '\1\2\\\3', 'g')"""
