@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, hnsw, html_extract, langid, packing, probminhash, quality, text as T, url_filter
+from . import chat, decontam, hnsw, html_extract, langid, packing, probminhash, quality, suffix_dedup, text as T, url_filter
 
 URL_RULES: list[url_filter.Rule] = [
     ("allow", "com", "/"),
@@ -49,6 +49,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(talks.unionByName(tricky))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(T.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(T.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, op9_benchmark_decontamination, op10_language_id)
+    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, op9_benchmark_decontamination, op10_language_id)
 }
 
 _ESCAPED = r"""regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|OUT\])', '\1\2\\\3', 'g')"""
