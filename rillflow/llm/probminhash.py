@@ -150,8 +150,13 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, est double")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs between components in buckets whose members are in several."""
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components in buckets whose members are in several; at most one for each member and block.
+
+    Members outside a bucket's largest component go to all its blocks as guests; the
+    members at home in a block are held in memory, guests are read one by one.  A
+    pair is compared only in the first of the bands that it shares.
+    """
     m = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     m = T.checkpointed(m.join(mixed, "bucket"))
@@ -160,38 +165,83 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     outside = F.col("comp") != F.col("main")
     rows = m.select("bucket", "node", "comp", outside.alias("outside"), home.alias("home"), F.explode(F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))).alias("block"))
-    rows = rows.withColumn("guest", F.col("block") != F.col("home")).join(nodes.select("node", "sig"), "node").select("bucket", "block", "node", "comp", "outside", "guest", "sig")
-
-    def pairs_of(g: dict[str, list]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, REGISTERS)
-        node, comp, guest = np.array(g["node"]), np.array(g["comp"]), np.array(g["guest"])
-        at_home = np.flatnonzero(~guest)
-        out = []
-        for i in np.flatnonzero(g["outside"]):
-            near = at_home[(sig[at_home] == sig[i]).mean(1) >= LEAST_ESTIMATE]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in near[comp[near] != comp[i]]]
-        return out
+    rows = rows.withColumn("guest", F.col("block") != F.col("home")).join(nodes.select("node", "sig"), "node").join(texts, "node").select("bucket", "block", "node", "comp", "outside", "guest", "sig", "text")
+
+    class Block:
+        """The members at home in one block of a bucket, and the links found."""
+
+        def __init__(self, bucket: int):
+            self.bucket, self.rows, self.links = bucket, [], []
+            self.sets: dict[int, frozenset] = {}
+            self.up: dict[int, int] = {}
+
+        def root(self, comp: int) -> int:
+            while (to := self.up.get(comp, comp)) != comp:
+                comp = to
+            return comp
+
+        def set_of(self, k: int, text: str) -> frozenset:
+            if k not in self.sets:
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                self.sets[k] = frozenset(T.shingles(raw, np.array([0, len(raw)]), WORDS)[0].tolist())
+            return self.sets[k]
+
+        def compare(self, row: dict, sig: np.ndarray, upto: int) -> None:
+            if not upto:
+                return
+            same = self.sigs[:upto] == sig
+            bands = same.reshape(upto, BANDS, ROWS).all(2)
+            band = int(np.flatnonzero(buckets(sig[None])[0] == self.bucket)[0])
+            near = np.flatnonzero((same.mean(1) >= LEAST_ESTIMATE) & (bands.argmax(1) == band))
+            own = None
+            for k in near[np.argsort(-same[near].mean(1), kind="stable")]:
+                other = self.rows[k]
+                if self.root(other["comp"]) == self.root(row["comp"]):
+                    continue
+                if own is None:
+                    raw = np.frombuffer(row["text"].encode("utf-8", "surrogatepass"), np.uint8)
+                    own = frozenset(T.shingles(raw, np.array([0, len(raw)]), WORDS)[0].tolist())
+                theirs = self.set_of(int(k), other["text"])
+                both = len(own & theirs)
+                if both >= similarity * (len(own) + len(theirs) - both):
+                    self.links.append((row["node"], other["node"]))
+                    self.up[self.root(row["comp"])] = self.root(other["comp"])
+
+        def settle(self) -> None:
+            """All members at home are there: compares those outside the main component with the rest."""
+            self.sigs = np.frombuffer(b"".join(r["sig"] for r in self.rows), np.uint32).reshape(-1, REGISTERS)
+            for k, r in enumerate(self.rows):
+                if r["outside"]:
+                    self.compare(r, self.sigs[k], len(self.rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("node", "comp", "outside", "guest", "sig")
-        key, group = None, {c: [] for c in names}
+        key, block, settled = None, None, False
         for b in batches:
-            found: set[tuple[int, int]] = set()
+            found: list[tuple[int, int]] = []
             for r in b.to_pylist():
                 if (r["bucket"], r["block"]) != key:
-                    if len(group["node"]) > 1:
-                        found.update(pairs_of(group))
-                    key, group = (r["bucket"], r["block"]), {c: [] for c in names}
-                for c in names:
-                    group[c].append(r[c])
+                    if block is not None:
+                        if not settled:
+                            block.settle()
+                        found += block.links
+                    key, block, settled = (r["bucket"], r["block"]), Block(r["bucket"]), False
+                if not r["guest"]:
+                    block.rows.append(r)
+                    continue
+                if not settled:
+                    block.settle()
+                    settled = True
+                block.compare(r, np.frombuffer(r["sig"], np.uint32), len(block.rows))
             yield _pairs(found)
-        yield _pairs(set(pairs_of(group)) if len(group["node"]) > 1 else set())
+        if block is not None:
+            if not settled:
+                block.settle()
+            yield _pairs(block.links)
 
-    def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        rows = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in rows], pa.int64()), pa.array([int(y) for _, y in rows], pa.int64())], ["a", "b"])
+    def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long").distinct()
+    return T.checkpointed(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "guest").mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,7 +273,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     )
     edges = _verified(best, texts, similarity)
     labels = T.checkpointed(components(edges))
-    more = _verified(_rest(members, labels, signed), texts, similarity)
+    more = _rest(members, labels, signed, texts, similarity)
     joined = more.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     upper = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
