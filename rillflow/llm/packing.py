@@ -19,6 +19,7 @@ import re
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import text as T
 
 SEQUENCE, END_ID, DIMS, BITS, HASHED = 4096, 2, 3, 12, 64
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 _SAFE = re.compile("[!-~¡-ɏ]+")
+#: Characters for which parts may be lower-cased and cut before they reach the tokenizer.
+_UNSAFE = re.compile("[^\\n !-~¡-ɏ]")
+#: A full stop or comma that is not alone between a letter or digit and white space.
+_RUN = re.compile(r"[^\w\s][.,](?:[ \n]|\Z)")
 
 
 class WordTokenizer:
@@ -57,6 +62,7 @@ class WordTokenizer:
         self.split = regex.compile(steps[0]["pattern"]["Regex"])
         self.special = tuple(x["content"] for x in config["added_tokens"])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
@@ -65,7 +71,7 @@ class WordTokenizer:
         got = self.pieces.get(piece)
         if got is None:
             spelt = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
+            got = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
             if len(self.pieces) >= CACHE_ENTRIES:
                 self.pieces.clear()
             self.pieces[piece] = got
@@ -74,10 +80,15 @@ class WordTokenizer:
     def _part(self, part: str) -> bytes:
         if _SAFE.fullmatch(part) and not any(s in part for s in self.special) and (part.isascii() or unicodedata.is_normalized("NFC", part)):
             return b"".join(map(self._piece, self.split.findall(part.lower())))
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian integers."""
+        if not _UNSAFE.search(text) and not any(x in text for x in self.special):
+            # as the tokenizer would: lower case, and single stops and commas apart from words
+            text = text.lower()
+            if not _RUN.search(text):
+                text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
         words = text.replace("\n", " ").split(" ")
         parts = self.parts
         try:
