@@ -361,7 +361,7 @@ def _with_spans(documents: DataFrame, length: int, keep: list[str]) -> DataFrame
     rows = ordered(documents.select("doc_id", "text"))
     spans = repeated_spans(rows, length)
     whole = documents.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), (F.lit(0).cast("long") if _unique(documents) else F.xxhash64(F.coalesce("text", F.lit("")))).alias("__k"))
-    return whole.join(spans.select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k2"), "spans"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__k2")), "left").drop("__doc", "__k", "__k2")
+    return whole.join(spans.select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k2"), F.col("spans").alias("__spans")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__k2")), "left").drop("__doc", "__k", "__k2")
 
 
 def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -370,7 +370,7 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, s in zip(b.column("__text").to_pylist(), b.column("spans").to_pylist()):
+            for t, s in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist()):
                 raw = t.encode("utf-8", "surrogatepass")
                 spans = merged(s)
                 out.append((len(raw), sum(y - x for x, y in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
@@ -387,7 +387,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for t, s in zip(b.column("__text").to_pylist(), b.column("spans").to_pylist()):
+            for t, s in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist()):
                 kept = kept_bytes(t.encode("utf-8", "surrogatepass"), merged(s)).decode("utf-8", "ignore") if s else t
                 texts.append(kept)
                 keep.append(not s or bool(kept.strip()))
