@@ -5,18 +5,19 @@ A byte goes if it lies in a string of `length` bytes that also starts earlier
 
 Suffix arrays are built in shards, so all occurrences of a string must meet in
 one shard.  Each window of `length` bytes belongs to the gram of GRAM bytes with
-the smallest hash in it (the leftmost such); neighbouring windows of one gram
-are a segment.  Equal windows have equal grams, so:
+the smallest hash in it (the leftmost such).  Neighbouring windows with their
+gram in the same half of the window are a segment; the bytes that all windows of
+such a half hold are its core.  Equal windows have equal cores, so:
 
-1. count grams over the corpus and keep those that occur again;
+1. count cores over the corpus and keep those that occur again;
 2. equal segments count once: all but the first occurrence of a segment are
    repeats as a whole;
-3. grams with several different segments are dealt to shards by their hash.
+3. cores with several different segments are dealt to shards by their hash.
    A shard's suffix array is built by induced sorting, its permuted LCP array
    from the irreducible entries, and windows that share `length` bytes are
-   neighbours in it; all but the first of them are repeats.  A gram with very
-   many segments is cut into groups of PIECE windows, dealt by the bytes that all
-   windows of a group share.
+   neighbours in it; all but the first of them are repeats.  A core with very
+   many segments is cut into groups of PIECE windows, dealt by the longer core
+   of such a group.
 
 Induced sorting and LCPs are vectorised: buckets are processed in order, and the
 suffixes that a bucket induces are put into their buckets all at once.
@@ -39,7 +40,7 @@ from . import text as T
 
 LENGTH, GRAM = 100, 20
 SHARD_BYTES = 1 << 20
-#: Distinct segments of one gram beyond which it is cut into pieces.
+#: Distinct segments of one core beyond which they are cut into pieces.
 MANY, PIECE = 2000, 8
 BLOCK_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -199,9 +200,9 @@ def repeated_windows(segments: list[bytes], places: np.ndarray, length: int) ->
 
 
 def segments_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Rows, gram hashes, hashes, starts (within the row) and window counts of the segments of rows data[bounds[i]:bounds[i+1]]."""
+    """Rows, core hashes, hashes, starts (within the row), window counts and gram places (from the start) of the segments of rows data[bounds[i]:bounds[i+1]]."""
     if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     prefix = T.prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = T.span_hash(prefix, at, at + GRAM)
@@ -214,12 +215,17 @@ def segments_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.n
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
     start = np.flatnonzero(np.arange(len(least)) + length <= bounds[row + 1])
+    if not len(start):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     anchor = (least[start] & _PLACE).astype(np.int64)
-    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1) | (row[start[1:]] != row[start[:-1]]))) if len(start) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
+    half = -(-span // 2)
+    part = (anchor - start) // half
+    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (np.diff(start) != 1) | (row[start[1:]] != row[start[:-1]]))))
     count = np.diff(np.append(first, len(start)))
-    begin = start[first]
-    return row[begin], gram[anchor[first]].astype(np.int64), T.span_hash(prefix, begin, begin + count - 1 + length).astype(np.int64), begin - bounds[row[begin]], count
+    begin, anchor = start[first], anchor[first]
+    core = anchor - half * part[first]
+    key = T.mix(T.span_hash(prefix, core, core + length - half + 1) + part[first].astype(np.uint64))
+    return row[begin], key.astype(np.int64), T.span_hash(prefix, begin, begin + count - 1 + length).astype(np.int64), begin - bounds[row[begin]], count, anchor - begin
 
 
 def _segment_table(rows: DataFrame, length: int) -> DataFrame:
@@ -232,7 +238,7 @@ def _segment_table(rows: DataFrame, length: int) -> DataFrame:
                 lo, hi = offsets[i], offsets[j]
                 blocks = [(lo, hi, offsets[i : j + 1] - lo, 0)] if hi - lo <= BLOCK_BYTES else [(x, min(hi, x + BLOCK_BYTES + length - 1), np.array([0, min(hi - x, BLOCK_BYTES + length - 1)]), x - lo) for x in range(lo, hi, BLOCK_BYTES)]
                 for x, y, bounds, skipped in blocks:
-                    row, f, h, s, c = segments_of(data[x:y], bounds, length)
+                    row, f, h, s, c, _ = segments_of(data[x:y], bounds, length)
                     take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(h), b.column("doc_id").take(take), b.column("k").take(take), pa.array(s + skipped, pa.int64()), pa.array(c, pa.int32())], ["f", "h", "doc_id", "k", "s", "c"])
 
@@ -272,11 +278,18 @@ def _shard_spans(segments: DataFrame, length: int) -> DataFrame:
     return segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"doc_id {kind}, k long, a long, b long")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Checkpoints df, after the shuffle files of steps that nothing refers to any more are given up."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return T.checkpointed(df)
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, k and spans (array of [a, b) bytes, possibly overlapping) of the rows (doc_id, k, text) that repeat something."""
-    again = T.checkpointed(_segment_table(rows, length).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
-    found = T.checkpointed(_segment_table(rows, length).join(again, "f", "left_semi").distinct())
-    groups = T.checkpointed(found.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
+    rows = rows if _unique(rows) else rows.dropDuplicates(["doc_id", "k"])
+    again = _stored(_segment_table(rows, length).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
+    found = _stored(_segment_table(rows, length).join(again, "f", "left_semi"))
+    groups = _stored(found.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
     copies = groups.where("n > 1").select("f", "h", "first")
     whole = found.join(copies, ["f", "h"]).where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first"))).select("doc_id", "k", F.col("s").alias("a"), (F.col("s") + F.col("c") - 1 + length).alias("b"))
 
@@ -285,9 +298,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     shards = max(1, -(-int(total) // SHARD_BYTES))
     wanted = groups.select("f", "c", "first.*").join(kinds.select("f", "kinds"), "f")
     many = F.col("kinds") > MANY
-    texts = rows.dropDuplicates(["doc_id", "k"]) if not _unique(rows) else rows
-    same = wanted["doc_id"].eqNullSafe(texts["doc_id"]) & (wanted["k"] == texts["k"])
-    cut = wanted.join(texts.select("doc_id", "k", F.col("text").cast("binary").alias("raw")), same).select(
+    same = wanted["doc_id"].eqNullSafe(rows["doc_id"]) & (wanted["k"] == rows["k"])
+    cut = wanted.join(rows.select("doc_id", "k", F.col("text").cast("binary").alias("raw")), same).select(
         "f", many.alias("many"), wanted["doc_id"], wanted["k"], "s", F.expr(f"substring(raw, cast(s + 1 as int), c + {length - 1})").alias("bytes")
     )
 
@@ -297,11 +309,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             out, of = [], []
             for i, x in enumerate(b.column("bytes").to_pylist()):
                 raw = np.frombuffer(x, np.uint8)
-                _, f, _, _, _ = segments_of(raw, np.array([0, len(raw)]), length)
+                anchor = int(segments_of(raw, np.array([0, len(raw)]), length)[5][0])
                 want = b.column("f")[i].as_py()
-                prefix = T.prefix_hash(raw)
-                grams = T.span_hash(prefix, np.arange(len(raw) - GRAM + 1), np.arange(len(raw) - GRAM + 1) + GRAM).astype(np.int64)
-                anchor = int(np.flatnonzero(grams == want)[0])
                 windows = len(raw) - length + 1
                 lo = 0
                 while lo < windows:
@@ -319,11 +328,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             key = np.array([v & 0x7FFFFFFFFFFFFFFF for v in columns[0]], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("k").take(take), pa.array(s), pa.array(columns[2], pa.binary())], ["f", "doc_id", "k", "s", "bytes"])
 
-    cut = T.checkpointed(cut)
+    cut = _stored(cut)
     parted = cut.where("many").select("f", "doc_id", "k", "s", "bytes").mapInArrow(pieces, f"f long, doc_id {dict(rows.dtypes)['doc_id']}, k long, s long, bytes binary")
     dealt = cut.where("not many").select("f", "doc_id", "k", "s", "bytes").unionByName(parted).withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
     spans = whole.unionByName(_shard_spans(dealt, length))
-    return T.checkpointed(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    return _stored(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def _unique(rows: DataFrame) -> bool:
