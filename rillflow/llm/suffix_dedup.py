@@ -29,7 +29,9 @@ with another text they are ordered by a hash of it.  A null doc_id comes first.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,8 +175,8 @@ def permuted_lcp(raw: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.where(own, np.maximum(value[np.maximum(last, 0)] - at, 0), 0)
 
 
-def repeated_windows(segments: list[bytes], places: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows of length bytes also start at a smaller place; places[i]: that of segment i's first byte."""
+def repeated_windows(segments: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of length bytes that also start at a smaller place: segment, first window and the one after the last; places[i]: that of segment i's first byte."""
     sizes = np.array([len(s) for s in segments])
     raw = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -193,7 +195,9 @@ def repeated_windows(segments: list[bytes], places: np.ndarray, length: int) ->
         first = np.concatenate(([True], group[1:] != group[:-1]))
         least = np.minimum.reduceat(place, np.flatnonzero(first))
         repeat[at] = place > least[np.cumsum(first) - 1]
-    return [repeat[s : s + max(0, z - length + 1)] for s, z in zip(starts, sizes)]
+    edge = np.diff(np.concatenate(([0], repeat.view(np.int8), [0])))  # separators end every run
+    first, after = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    return owner[first], inside[first], inside[first] + (after - first)
 
 
 # -------------------------------------------------------------------- segments
@@ -252,12 +256,11 @@ def _shard_spans(segments: DataFrame, length: int) -> DataFrame:
     def solve(docs: list, starts: list[int], pieces: list[bytes]) -> pa.RecordBatch:
         ranks = {d: i for i, d in enumerate(sorted(set(docs), key=lambda d: (d[0] is not None, d[0], d[1])))}
         places = np.array([(ranks[d] << 36) + s for d, s in zip(docs, starts)], np.int64)
-        out = []
-        for d, s, repeat in zip(docs, starts, repeated_windows(pieces, places, length)):
-            edge = np.diff(np.concatenate(([0], repeat.view(np.int8), [0])))
-            out += [(d[0], d[1], s + x, s + y - 1 + length) for x, y in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0))]
-        columns = list(zip(*out)) if out else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], doc_type), *(pa.array([int(v) for v in c], pa.int64()) for c in columns[1:])], ["doc_id", "k", "a", "b"])
+        which, first, after = repeated_windows(pieces, places, length)
+        begin = np.array(starts, np.int64)[which]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([docs[i][0] for i in which], doc_type), pa.array([docs[i][1] for i in which], pa.int64()), pa.array(begin + first, pa.int64()), pa.array(begin + after - 1 + length, pa.int64())], ["doc_id", "k", "a", "b"]
+        )
 
     doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
@@ -279,19 +282,31 @@ def _shard_spans(segments: DataFrame, length: int) -> DataFrame:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Checkpoints df, after the shuffle files of steps that nothing refers to any more are given up."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Checkpoints df, after the shuffle files of earlier steps are given up."""
+    _free(df)
     return T.checkpointed(df)
 
 
+def _free(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more.
+
+    It does so once the driver's garbage is collected, which else may take long; the
+    first collection lets go of Python's handles, the second of what they held.
+    """
+    gc.collect()
+    for _ in range(2):
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, k and spans (array of [a, b) bytes, possibly overlapping) of the rows (doc_id, k, text) that repeat something."""
     rows = rows if _unique(rows) else rows.dropDuplicates(["doc_id", "k"])
     again = _stored(_segment_table(rows, length).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
-    found = _stored(_segment_table(rows, length).join(again, "f", "left_semi"))
-    groups = _stored(found.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
+    occurrences = _stored(_segment_table(rows, length).join(again, "f", "left_semi"))
+    groups = _stored(occurrences.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
     copies = groups.where("n > 1").select("f", "h", "first")
-    whole = found.join(copies, ["f", "h"]).where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first"))).select("doc_id", "k", F.col("s").alias("a"), (F.col("s") + F.col("c") - 1 + length).alias("b"))
+    whole = occurrences.join(copies, ["f", "h"]).where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first"))).select("doc_id", "k", F.col("s").alias("a"), (F.col("s") + F.col("c") - 1 + length).alias("b"))
 
     kinds = groups.groupBy("f").agg(F.count("*").alias("kinds"), F.sum(F.col("c") + length - 1).alias("size")).where("kinds > 1")
     total = kinds.agg(F.sum("size")).first()[0] or 0
@@ -332,7 +347,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     parted = cut.where("many").select("f", "doc_id", "k", "s", "bytes").mapInArrow(pieces, f"f long, doc_id {dict(rows.dtypes)['doc_id']}, k long, s long, bytes binary")
     dealt = cut.where("not many").select("f", "doc_id", "k", "s", "bytes").unionByName(parted).withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
     spans = whole.unionByName(_shard_spans(dealt, length))
-    return _stored(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    found = _stored(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    del again, occurrences, groups, copies, whole, kinds, wanted, cut, parted, dealt, spans
+    _free(found)
+    return found
 
 
 def _unique(rows: DataFrame) -> bool:
