@@ -225,6 +225,7 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
         whole.join(ups.select(F.col("here").alias("link"), "us1", "us2"), "link", "left").join(downs, "link", "left")
         .select("link", F.coalesce("dslink", F.lit(-1)).alias("dslink"), F.coalesce("us1", F.lit(-1)).alias("us1"), F.coalesce("us2", F.lit(-1)).alias("us2"), F.col("dsnode"), "strmorder", "magnitude", "length", "drop", "slope", "straightl", "uscontarea", "dscontarea", "doutend", "doutstart", "doutmid", "hr", "hc", "er", "ec")
     )
+    net = checkpointed(net)
     points = member.select("link", F.col("hops"), "row", "col").join(values, ["row", "col"])
     first_stream = follow(p, meta, on.select("row", "col")).where("stopped").select("row", "col", "r", "c")
     label = F.lit(1).cast("long") if single_watershed else F.col("link").cast("long")

@@ -491,13 +491,14 @@ def dinf_decay_accum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _sql(
         _mass("CASE WHEN mark > 0 AND weight > 0 THEN weight::DOUBLE ELSE 0 END", "CASE WHEN f.weight > 0 THEN m.v * f.decay * l.share ELSE 0 END", drop="WHERE g.mark = 0")
-        + "SELECT d.row, d.col, CASE WHEN d.ang IS NOT NULL AND d.weight > 0 THEN CASE WHEN d.mark > 0 THEN 1 ELSE round(s.v / d.weight, 6) END END AS value FROM dinf d LEFT JOIN (SELECT id, sum(v) AS v FROM mass GROUP BY id) s USING (id)",
+        + "SELECT d.row, d.col, CASE WHEN d.ang IS NOT NULL AND d.weight > 0 THEN CASE WHEN d.mark > 0 THEN 1 ELSE round(s.v / d.weight, 9) END END AS value FROM dinf d LEFT JOIN (SELECT id, sum(v) AS v FROM mass GROUP BY id) s USING (id)",
         _SHARES,
     )
 )
 def dinf_conc_lim_accum(spark: SparkSession, sf_dir: str) -> DataFrame:
     ang, meta = dinf(spark, sf_dir)
-    return rounded(flow.conc_lim_accum(ang, attribute(spark, sf_dir, "decay"), attribute(spark, sf_dir, "weight"), attribute(spark, sf_dir, "mark"), meta, check=False))
+    found = flow.conc_lim_accum(ang, attribute(spark, sf_dir, "decay"), attribute(spark, sf_dir, "weight"), attribute(spark, sf_dir, "mark"), meta, check=False)
+    return found.select("row", "col", F.round("value", 9).alias("value"))
 
 
 @query(_sql(_mass("weight::DOUBLE", back=True) + "SELECT d.row, d.col, round(s.v, 6) AS racc FROM dinf d LEFT JOIN (SELECT id, sum(v) AS v FROM mass GROUP BY id) s USING (id)", _SHARES))
