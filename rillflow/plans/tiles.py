@@ -13,6 +13,7 @@ loops over cells: `sweep` evaluates a flow graph front by front.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,7 +28,11 @@ Kernel = Callable[["Patch"], dict[str, np.ndarray]]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, with its lineage cut."""
+    """df written as Parquet to the shared checkpoint folder and read back, with its lineage cut.
+
+    A written table knows its size.  checkpoint() would keep the plan's estimate, and in a
+    loop of joins estimates multiply until planning alone takes minutes.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -38,7 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="rillflow-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass
