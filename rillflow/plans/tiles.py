@@ -125,9 +125,9 @@ def sweep(patch: Patch, sources: list[np.ndarray], take: np.ndarray, known: np.n
     return known
 
 
-def _patch(meta: GridMeta, size: int, ty: int, tx: int, rows: pd.DataFrame, names: list[str], rim: pd.DataFrame | None, exchanged: list[str]) -> Patch:
-    row0, col0 = ty * size, tx * size
-    h, w = min(size, meta.nrows - row0), min(size, meta.ncols - col0)
+def _patch(meta: GridMeta, size: tuple[int, int], ty: int, tx: int, rows: pd.DataFrame, names: list[str], rim: pd.DataFrame | None, exchanged: list[str]) -> Patch:
+    row0, col0 = ty * size[0], tx * size[1]
+    h, w = min(size[0], meta.nrows - row0), min(size[1], meta.ncols - col0)
 
     def place(frame: pd.DataFrame) -> np.ndarray:
         return (frame["row"].to_numpy() - row0 + 1) * (w + 2) + frame["col"].to_numpy() - col0 + 1
@@ -147,15 +147,21 @@ def _patch(meta: GridMeta, size: int, ty: int, tx: int, rows: pd.DataFrame, name
     return out
 
 
-def _touched(size: int, meta: GridMeta) -> F.Column:
+def shape_of(size: int, meta: GridMeta) -> tuple[int, int]:
+    """Rows and columns of a tile of at most size by size cells: taller where the grid is narrow."""
+    width = max(1, min(size, meta.ncols))
+    return max(size, size * size // width), width
+
+
+def _touched(size: tuple[int, int], meta: GridMeta) -> F.Column:
     """Tiles (ty, tx) that hold a cell inside or on their rim."""
-    top, left = (meta.nrows - 1) // size, (meta.ncols - 1) // size
 
-    def span(c: str, last: int) -> F.Column:
-        lo, hi = F.greatest(F.floor((F.col(c) - 1) / size), F.lit(0)), F.least(F.floor((F.col(c) + 1) / size), F.lit(last))
+    def span(c: str, step: int, last: int) -> F.Column:
+        lo, hi = F.greatest(F.floor((F.col(c) - 1) / step), F.lit(0)), F.least(F.floor((F.col(c) + 1) / step), F.lit(last))
         return F.sequence(lo.cast("int"), hi.cast("int"))
 
-    return F.flatten(F.transform(span("row", top), lambda y: F.transform(span("col", left), lambda x: F.struct(y.alias("ty"), x.alias("tx")))))
+    rows, cols = span("row", size[0], (meta.nrows - 1) // size[0]), span("col", size[1], (meta.ncols - 1) // size[1])
+    return F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: F.struct(y.alias("ty"), x.alias("tx")))))
 
 
 def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str], exchanged: list[str] | None = None, size: int = TILE, rounds: int = 10_000) -> DataFrame:
@@ -166,12 +172,13 @@ def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str],
     """
     names = [c for c in cells.columns if c not in ("row", "col")]
     exchanged = exchanged or []
+    shape = shape_of(size, meta)
     schema = "row int, col int, " + ", ".join(f"{o} double" for o in outputs)
-    tiled = cells.select("row", "col", *(F.col(n).cast("double").alias(n) for n in names)).withColumn("tile", F.explode(_touched(size, meta))).select("tile.ty", "tile.tx", "row", "col", *names)
-    one = meta.nrows <= size and meta.ncols <= size
+    tiled = cells.select("row", "col", *(F.col(n).cast("double").alias(n) for n in names)).withColumn("tile", F.explode(_touched(shape, meta))).select("tile.ty", "tile.tx", "row", "col", *names)
+    one = meta.nrows <= shape[0] and meta.ncols <= shape[1]
 
     def run(ty: int, tx: int, rows: pd.DataFrame, rim: pd.DataFrame | None, edge: bool) -> pd.DataFrame:
-        patch = _patch(meta, size, ty, tx, rows, names, rim, exchanged)
+        patch = _patch(meta, shape, ty, tx, rows, names, rim, exchanged)
         found = kernel(patch)
         keep = patch.inside.copy()
         if edge:
@@ -202,8 +209,8 @@ def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str],
             edges = tiled.groupBy("ty", "tx").cogroup(rim.groupBy("ty", "tx")).applyInPandas(lambda key, rows, r: run(key[0], key[1], rows, r, True), edge_schema)
         edges = checkpointed(edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))).first())
-        own = F.struct(F.floor(F.col("row") / size).cast("int").alias("ty"), F.floor(F.col("col") / size).cast("int").alias("tx"))
-        rim = edges.withColumn("tile", F.explode(F.array_remove(_touched(size, meta), own))).select("tile.ty", "tile.tx", *edges.columns)
+        own = F.struct(F.floor(F.col("row") / shape[0]).cast("int").alias("ty"), F.floor(F.col("col") / shape[1]).cast("int").alias("tx"))
+        rim = edges.withColumn("tile", F.explode(F.array_remove(_touched(shape, meta), own))).select("tile.ty", "tile.tx", *edges.columns)
         if now == before:
             break
         before = now
