@@ -20,7 +20,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,21 @@ _SAFE = re.compile("[!-~¡-ɏ]+")
 #: Characters for which parts may be lower-cased and cut before they reach the tokenizer.
 _UNSAFE = re.compile("[^\\n !-~¡-ɏ]")
 #: A full stop or comma that is not alone between a letter or digit and white space.
-_RUN = re.compile(r"[^\w\s][.,](?:[ \n]|\Z)")
+_RUN = re.compile(r"[.,](?<=[^\w\s].)(?=[ \n]|\Z)")
+
+
+class _Remembered(dict):
+    """Makes the values it lacks, and starts anew when full."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[key] = got
+        return got
 
 
 class WordTokenizer:
@@ -54,6 +68,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         steps = config["pre_tokenizer"]["pretokenizers"]
@@ -64,22 +79,20 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        # words of letters only are one piece if nothing but an apostrophe comes before them in the pattern
+        choices = steps[0]["pattern"]["Regex"].split("|")
+        self.plain = "[\\p{L}]+" in choices and all(x.startswith("'") for x in choices[: choices.index("[\\p{L}]+")])
+        self.pieces = _Remembered(self._piece)
+        self.parts = _Remembered(self._part)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            spelt = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            got = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        spelt = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _part(self, part: str) -> bytes:
         if _SAFE.fullmatch(part) and not any(s in part for s in self.special) and (part.isascii() or unicodedata.is_normalized("NFC", part)):
-            return b"".join(map(self._piece, self.split.findall(part.lower())))
+            low = part.lower()
+            return self._piece(low) if self.plain and low.isalpha() else b"".join(map(self.pieces.__getitem__, self.split.findall(low)))
         return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -89,23 +102,7 @@ class WordTokenizer:
             text = text.lower()
             if not _RUN.search(text):
                 text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
-        words = text.replace("\n", " ").split(" ")
-        parts = self.parts
-        try:
-            return b"".join([parts[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            got = parts.get(w)
-            if got is None:
-                got = self._part(w)
-                if len(parts) >= CACHE_ENTRIES:
-                    parts.clear()
-                    parts[""] = b""
-                parts[w] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def _byte_letters() -> list[str]:
