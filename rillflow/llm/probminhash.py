@@ -133,7 +133,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return T.checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return T.settled(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
     """
     m = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    m = T.checkpointed(m.join(mixed, "bucket"))
+    m = T.settled(m.join(mixed, "bucket"))
     large = m.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     m = m.join(large, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -265,7 +265,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     centres = centred.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     stars = centred.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     best = _estimated(stars, signed).groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    texts = T.checkpointed(
+    texts = T.settled(
         keyed(documents)
         .join(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
         .select("node", "text")
@@ -280,12 +280,13 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     tops = labels.join(upper, "comp", "full").select(F.coalesce("node", "comp").alias("node"), F.coalesce("top", "comp").alias("top"))
     classes = nodes.select("node", "k1", "k2", "rep").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     least = classes.groupBy("top").agg(F.min("rep").alias("class_id"))
-    named = classes.join(least, "top").select("k1", "k2", "class_id")
+    named = T.settled(classes.join(least, "top").select("k1", "k2", "class_id"))
     return keyed(documents).select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id")
 
 
 def first_of_class(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """documents with one row of each class: that with the smallest doc_id (one of equal rows)."""
     found = near_duplicates(documents, similarity)
-    kept = found.where("doc_id <=> class_id").select("doc_id").distinct()
+    kept = T.settled(found.where("doc_id <=> class_id").select("doc_id").distinct())
+    T.drop_shuffles(documents.sparkSession)
     return documents.join(kept, documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])

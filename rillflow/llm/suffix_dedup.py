@@ -29,9 +29,7 @@ with another text they are ordered by a hash of it.  A null doc_id comes first.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -281,30 +279,12 @@ def _shard_spans(segments: DataFrame, length: int) -> DataFrame:
     return segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"doc_id {kind}, k long, a long, b long")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Checkpoints df, after the shuffle files of earlier steps are given up."""
-    _free(df)
-    return T.checkpointed(df)
-
-
-def _free(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more.
-
-    It does so once the driver's garbage is collected, which else may take long; the
-    first collection lets go of Python's handles, the second of what they held.
-    """
-    gc.collect()
-    for _ in range(2):
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(1.0)
-
-
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, k and spans (array of [a, b) bytes, possibly overlapping) of the rows (doc_id, k, text) that repeat something."""
     rows = rows if _unique(rows) else rows.dropDuplicates(["doc_id", "k"])
-    again = _stored(_segment_table(rows, length).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
-    occurrences = _stored(_segment_table(rows, length).join(again, "f", "left_semi"))
-    groups = _stored(occurrences.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
+    again = T.settled(_segment_table(rows, length).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
+    occurrences = T.settled(_segment_table(rows, length).join(again, "f", "left_semi"))
+    groups = T.settled(occurrences.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
     copies = groups.where("n > 1").select("f", "h", "first")
     whole = occurrences.join(copies, ["f", "h"]).where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first"))).select("doc_id", "k", F.col("s").alias("a"), (F.col("s") + F.col("c") - 1 + length).alias("b"))
 
@@ -343,13 +323,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             key = np.array([v & 0x7FFFFFFFFFFFFFFF for v in columns[0]], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("k").take(take), pa.array(s), pa.array(columns[2], pa.binary())], ["f", "doc_id", "k", "s", "bytes"])
 
-    cut = _stored(cut)
+    cut = T.settled(cut)
     parted = cut.where("many").select("f", "doc_id", "k", "s", "bytes").mapInArrow(pieces, f"f long, doc_id {dict(rows.dtypes)['doc_id']}, k long, s long, bytes binary")
     dealt = cut.where("not many").select("f", "doc_id", "k", "s", "bytes").unionByName(parted).withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
     spans = whole.unionByName(_shard_spans(dealt, length))
-    found = _stored(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    found = T.settled(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     del again, occurrences, groups, copies, whole, kinds, wanted, cut, parted, dealt, spans
-    _free(found)
+    T.drop_shuffles(found.sparkSession)
     return found
 
 

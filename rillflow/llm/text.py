@@ -7,7 +7,9 @@ memory does not depend on how many rows Spark hands over at once.
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +58,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoints df, after the shuffle files of earlier steps are given up."""
+    drop_shuffles(df.sparkSession)
+    return checkpointed(df)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more.
+
+    It does so once the driver's garbage is collected, which else may take long; the
+    first collection lets go of Python's handles, the second of what they held.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
