@@ -1,25 +1,20 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit check.
-
-CGK walks over a string: at each step it emits the current byte and moves on or
-not, as a random bit of (step, byte) says.  Two strings of small edit distance
-walk together again after an edit, so their walks have a small Hamming distance.
-An LSH key is a sample of a walk's emitted bytes; `repeats` keys come from
-independent walks and samples.
-
-Windows are item-sized and start at every word of a document; items are walked
-from each of their words, so an item has as many chances as words, and a window
-that agrees with an item at one word is aligned with it.  Each aligned window
-is then checked by a bit-parallel edit distance, free at the window's ends.  A
-document holds an item if the distance is at most `share` of the item's length.
-
-All windows walk together; after a few steps those whose key begins no item's
-key are dropped, which loses nothing.  With an edit every 10 bytes (`share` 0.1) a
-key of STEPS steps (about 20 bytes, of which SAMPLED are compared) survives at a
-word with probability over 0.12; items of 12 words are then found with
-probability 1 - (1 - 0.12) ** (12 * REPEATS) > 0.95.
+"""Benchmark decontamination: pieces of items counted along diagonals, exact edit check.
+
+A document holds an item if some part of it is within an edit distance of `share`
+of the item's length.  Each item is cut into disjoint pieces of about `piece`
+bytes, at borders of characters.  An edit breaks at most one piece, so of n pieces
+at least n - most stand unchanged in the document, most being the edits allowed,
+and their diagonals (place in the document less place in the item) lie within
+4 * most bytes, as an edit moves what follows by one character at most.
+
+Pieces are looked up at every byte of a document, by the hash of their first bytes; an
+item is a candidate where so many hits lie so close.  Each candidate is then checked by a
+bit-parallel edit distance, free at the window's ends.  The piece length is the largest
+at which one piece at least is left at every item length, so nothing is lost: recall is 1
+at every distance up to `share`, whatever the item's length and wherever the edits are.
 
 Texts are compared in ASCII lower case, white space runs as one space.  Items
-are walked in parts of at most PART_BYTES, each sent to all tasks, so what is
+are looked up in parts of about PART_BYTES, each sent to all tasks, so what is
 broadcast is bounded; documents are read once for each part.  Items under MIN_BYTES
 bytes are found only as exact words.  Null and empty texts and items hold
 nothing.  Repeated rows are reported once each; equal items each.
@@ -37,10 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import text as T
 
-REPEATS, STEPS, HEAD, SAMPLED = 2, 40, 14, 0.75
 SHARE = 0.1
 MIN_BYTES = 24
 PART_BYTES = 32 << 20
+#: Hits that are counted at a time.
+HITS = 1 << 21
+#: A power of two; its logarithm is the number of leading hash bits that are looked up first.
+SLOT_BITS = 22
 
 
 def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,99 +54,109 @@ def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.concatenate(([0], np.cumsum(keep)))[bounds]
 
 
-@dataclass
-class Walk:
-    moves: np.ndarray  # (STEPS, 256) 0 or 1
-    sampled: np.ndarray  # (STEPS,)
+def piece_bytes(share: float, most: int = 12) -> int:
+    """The largest length of pieces at which every item of MIN_BYTES characters or more has more pieces than edits."""
+    for size in range(most, 1, -1):
+        # beyond this length there is a piece to spare at any length if there ever is
+        if share * size < 1 and all(n // size > int(share * n) for n in range(MIN_BYTES, MIN_BYTES + int(2 * size / (1 - share * size)))):
+            return size
+    return 1
 
-    @staticmethod
-    def number(k: int) -> Walk:
-        rng = np.random.default_rng(1000 + k)
-        sampled = rng.random(STEPS) < SAMPLED
-        sampled[0] = True
-        return Walk(rng.integers(0, 2, (STEPS, 256)).astype(np.int32), sampled)
-
-    def keys(self, data: np.ndarray, at: np.ndarray, start: int, stop: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys after the steps start to stop from places at."""
-        last = len(data) - 1
-        for j in range(start, stop):
-            c = data[np.minimum(at, last)]
-            if self.sampled[j]:
-                key = key * np.uint64(0x100000001B3) + c
-            at = at + self.moves[j][c]
-        return at, key
+
+def cuts(raw: bytes, size: int) -> list[int]:
+    """Starts of the disjoint pieces of raw: whole characters, each as few as have size bytes."""
+    out, at = [], 0
+    while at + size <= len(raw):
+        out.append(at)
+        at += size
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+    return out
+
+
+def keys_at(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the size bytes from each place on."""
+    n = max(len(data) - size + 1, 0)
+    key = np.zeros(n, np.uint64)
+    for j in range(size):
+        key = key * np.uint64(0x100000001B3) + data[j : n + j]
+    return T.mix(key)
 
 
 @dataclass
 class Items:
-    """LSH tables of one part of the items."""
+    """Pieces of one part of the items."""
 
-    texts: list[str]
     raw: list[bytes]
     ids: list
-    walks: list[Walk]
-    heads: list[np.ndarray]  # per walk: a bit set of 2**22 key heads
-    keys: list[np.ndarray]  # per walk: sorted keys
-    owners: list[np.ndarray]  # per walk: (item, byte offset) of each key
+    size: int  # bytes of a piece that are looked up
+    slots: np.ndarray  # of the leading bits of a key: whether any piece has them
+    keys: np.ndarray  # sorted keys of the pieces
+    owners: np.ndarray  # (item, byte offset) of each piece
+    need: np.ndarray  # per item: pieces that any window within the distance has
+    slack: np.ndarray  # per item: bytes that their diagonals may lie apart
     short: list[int]  # items for exact search only
     share: float
 
     @staticmethod
     def of(ids: list, texts: list[str], share: float) -> Items:
-        raw, starts, owners, at = [], [], [], 0
+        size = piece_bytes(share)
+        raw, keys, owners = [], [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+        need, slack = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
             b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
             n, _ = normal(b, np.array([0, len(b)]))
-            raw.append(n.tobytes().strip())
-        short = [k for k, r in enumerate(raw) if 0 < len(r) < MIN_BYTES]
-        parts = []
-        for k, r in enumerate(raw):
-            if len(r) >= MIN_BYTES:
-                b = np.frombuffer(r, np.uint8)
-                first = np.flatnonzero(np.concatenate(([True], b[:-1] == 32)))
-                first = first[first + STEPS <= len(b)] if len(b) >= 2 * STEPS else first[:1]
-                starts.append(first + at)
-                owners.append(np.stack([np.full(len(first), k), first], 1))
-                parts += [b, np.full(STEPS, 32, np.uint8)]
-                at += len(b) + STEPS
-        data = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
-        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        owner = np.concatenate(owners) if owners else np.zeros((0, 2), np.int64)
-        long = np.array([len(raw[k]) >= 2 * STEPS for k in owner[:, 0]], bool)
-        walks, heads, keys, of = [], [], [], []
-        for w in map(Walk.number, range(REPEATS)):
-            zero = np.zeros(len(start), np.uint64)
-            place, head = w.keys(data, start, 0, HEAD, zero)
-            _, full = w.keys(data, place, HEAD, STEPS, head)
-            # an item under 2 * STEPS bytes is keyed by the head alone
-            key = np.where(long, T.mix(full), T.mix(head ^ np.uint64(0x5555555555555555)))
-            order = np.argsort(key, kind="stable")
-            bits = np.zeros(1 << 19, np.uint8)
-            slot = (T.mix(head) >> np.uint64(42)).astype(np.int64)
-            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-            walks.append(w)
-            heads.append(bits)
-            keys.append(key[order])
-            of.append(owner[order])
-        return Items(texts, raw, ids, walks, heads, keys, of, short, share)
-
-    def candidates(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct (word start in data, item, byte offset in the item)."""
-        found = []
-        for w, bits, keys, owner in zip(self.walks, self.heads, self.keys, self.owners):
-            if not len(keys):
+            r = n.tobytes().strip()
+            raw.append(r)
+            if len(r) < MIN_BYTES:
                 continue
-            place, head = w.keys(data, starts, 0, HEAD, np.zeros(len(starts), np.uint64))
-            slot = (T.mix(head) >> np.uint64(42)).astype(np.int64)
-            live = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1)
-            _, full = w.keys(data, place[live], HEAD, STEPS, head[live])
-            for key in (T.mix(full), T.mix(head[live] ^ np.uint64(0x5555555555555555))):
-                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                hit = np.flatnonzero(hi > lo)
-                n = (hi - lo)[hit]
-                row = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                found.append(np.column_stack([np.repeat(starts[live[hit]], n), owner[row]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            at = np.array(cuts(r, size))
+            most = int(share * len(r.decode("utf-8", "replace")))
+            need[k], slack[k] = max(1, len(at) - most), 4 * most
+            keys.append(keys_at(np.frombuffer(r, np.uint8), size)[at])
+            owners.append(np.stack([np.full(len(at), k), at], 1))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        slots = np.zeros(1 << SLOT_BITS, bool)
+        slots[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+        short = [k for k, r in enumerate(raw) if 0 < len(r) < MIN_BYTES]
+        return Items(raw, ids, size, slots, key[order], owner[order], need, slack, short, share)
+
+    def candidates(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (place in data, item, byte offset in the item) where a window in one of the rows begins to have enough pieces."""
+        found = [np.zeros((0, 3), np.int64)]
+        key = keys_at(data, self.size)
+        live = np.flatnonzero(self.slots[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, key[live], "left"), np.searchsorted(self.keys, key[live], "right")
+        row = np.searchsorted(bounds, live, "right") - 1
+        hit = np.flatnonzero((hi > lo) & (live + self.size <= bounds[row + 1]))
+        if not len(hit):
+            return found[0]
+        live, lo, n, row = live[hit], lo[hit], (hi - lo)[hit], row[hit]
+        total = np.concatenate(([0], np.cumsum(n)))
+        # blocks overlap by as much as the pieces of one window can lie apart
+        span = max(len(r) for r in self.raw) + int(self.slack.max())
+        i = 0
+        while i < len(live):
+            j = max(int(np.searchsorted(total, total[i] + HITS, "right")) - 1, int(np.searchsorted(live, live[i] + 2 * span, "right")))
+            j = min(j, len(live))
+            at = np.repeat(lo[i:j] - (total[i:j] - total[i]), n[i:j]) + np.arange(total[j] - total[i])
+            found.append(self._dense(np.repeat(live[i:j], n[i:j]), np.repeat(row[i:j], n[i:j]), self.owners[at]))
+            if j == len(live):
+                break
+            i = max(i + 1, int(np.searchsorted(live, live[j] - span, "left")))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _dense(self, place: np.ndarray, row: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Those hits from which on, by diagonal, the needed number lies within the slack."""
+        item, diagonal = owner[:, 0], place - owner[:, 1]
+        key = row * len(self.raw) + item
+        order = np.lexsort((diagonal, key))
+        key, diagonal, item = key[order], diagonal[order], item[order]
+        last = np.arange(len(key)) + self.need[item] - 1
+        inside = np.minimum(last, len(key) - 1)
+        good = (last < len(key)) & (key[inside] == key) & (diagonal[inside] - diagonal <= self.slack[item])
+        return np.column_stack([place[order], item, owner[order, 1]])[good]
 
     def held(self, text: bytes, hits: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, distance, byte offset of the window) of the items that a normalised text holds; hits: (start, item, offset)."""
@@ -234,8 +242,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
                     flat, bounds = normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     if not len(flat):
                         continue
-                    begin = np.flatnonzero((flat != 32) & np.concatenate(([True], flat[:-1] == 32)) | np.isin(np.arange(len(flat)), bounds[:-1]))
-                    hits = items.candidates(flat, begin.astype(np.int64))
+                    hits = items.candidates(flat, bounds)
                     owner = np.searchsorted(bounds, hits[:, 0], "right") - 1
                     who = range(j - i) if items.short else np.unique(owner)
                     for r in who:

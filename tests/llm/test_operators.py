@@ -425,6 +425,41 @@ def test_leaks(spark):
     assert decontam.leaks(documents, benchmark.limit(0)).count() == 0 and decontam.leaks(documents.limit(0), benchmark).count() == 0
 
 
+def found_in(items, text):
+    """Numbers of the items that one text holds."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    flat, bounds = decontam.normal(raw, np.array([0, len(raw)]))
+    return {k for k, _, _ in items.held(flat.tobytes(), items.candidates(flat, bounds))}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_items_of_any_length_are_found_at_the_full_distance(share):
+    rng = random.Random(12)
+    letters = "abcdefghijéß你"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(80))[:n].strip().ljust(n, "q") for n in [*range(24, 130, 3), 200, 400]]
+    items = decontam.Items.of(list(range(len(texts))), texts, share)
+    for k, t in enumerate(texts):
+        for _ in range(3):
+            x = list(t)
+            for _ in range(int(share * len(t))):
+                i, u = rng.randrange(len(x)), rng.randrange(3)
+                x[i : i + (u > 0)] = [] if u == 2 else [rng.choice("xyz’")]
+            assert k in found_in(items, f"{sentence(rng, 9)} {''.join(x)} {sentence(rng, 9)}"), (k, t, "".join(x))
+
+
+def test_blocks_of_hits_lose_nothing(monkeypatch):
+    rng = random.Random(13)
+    texts = [sentence(rng, n) for n in (5, 15, 40)]
+    items = decontam.Items.of([0, 1, 2], texts, 0.1)
+    whole = " ".join(f"{sentence(rng, 20)} {t}" for t in texts * 4)
+    raw = np.frombuffer(whole.encode(), np.uint8)
+    before = items.candidates(raw, np.array([0, len(raw)]))
+    monkeypatch.setattr(decontam, "HITS", 3)
+    assert len(before) and found_in(items, whole) == {0, 1, 2}
+    assert {(a - c, b) for a, b, c in before.tolist()} >= {(whole.index(t), k) for k, t in enumerate(texts)}
+    assert items.candidates(raw, np.array([0, len(raw)])).tolist() == before.tolist()
+
+
 def test_distance_matches_the_table():
     rng = random.Random(3)
     for _ in range(20):
