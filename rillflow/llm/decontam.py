@@ -16,7 +16,7 @@ at every distance up to `share`, whatever the item's length and wherever the edi
 Texts are compared in ASCII lower case, white space runs as one space.  Items
 are looked up in parts of about PART_BYTES, each sent to all tasks, so what is
 broadcast is bounded; documents are read once for each part.  Items under MIN_BYTES
-bytes are found only as exact words.  Null and empty texts and items hold
+bytes are found only as exact words, between white space, punctuation or a text's ends.  Null and empty texts and items hold
 nothing.  Repeated rows are reported once each; equal items each.
 """
 
@@ -180,12 +180,24 @@ class Items:
             if best[0] <= most:
                 out.append((int(k), *best))
         for k in self.short:
-            at = (b" " + text + b" ").find(b" " + self.raw[k] + b" ")
+            at = find_words(text, self.raw[k])
             if at >= 0:
                 out.append((k, 0, at))
         return out
 
 
+def find_words(text: bytes, item: bytes) -> int:
+    """First place of item in text where no word goes on beyond the item's ends, or -1."""
+
+    def joined(i: int) -> bool:
+        return 0 < i < len(text) and T.BYTE_KIND[text[i - 1]] == 1 and T.BYTE_KIND[text[i]] == 1
+
+    at = text.find(item)
+    while at >= 0 and (joined(at) or joined(at + len(item))):
+        at = text.find(item, at + 1)
+    return at
+
+
 def distance_within(item: str, region: str) -> int:
     """Least edit distance between item and any part of region (bit-parallel, one integer operation per character)."""
     m = len(item)

@@ -447,6 +447,18 @@ def test_items_of_any_length_are_found_at_the_full_distance(share):
             assert k in found_in(items, f"{sentence(rng, 9)} {''.join(x)} {sentence(rng, 9)}"), (k, t, "".join(x))
 
 
+def test_short_items_next_to_punctuation():
+    rng = random.Random(14)
+    texts = ["tiny item", "c++", "naïve", *(sentence(rng, 20)[:n].strip().ljust(n, "q") for n in (24, 30, 45, 60, 79))]
+    items = decontam.Items.of(list(range(len(texts))), texts, 0.1)
+    for left, right in (('"', '"'), ("(", ")"), ("so:", "."), ("", ","), ("**", "!"), ("\n", "?")):
+        for k, t in enumerate(texts):
+            assert k in found_in(items, f"x {left}{t.upper() if t != 'naïve' else t}{right} y"), (left, t)
+    for other in ("tiny items", "stiny item", "tiny-item", "abc++", "naïveté"):
+        assert not found_in(items, f"x {other} y")
+    assert found_in(items, "untiny item, tiny items, tiny item; c++17") >= {0}
+
+
 def test_blocks_of_hits_lose_nothing(monkeypatch):
     rng = random.Random(13)
     texts = [sentence(rng, n) for n in (5, 15, 40)]
