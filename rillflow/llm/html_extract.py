@@ -3,9 +3,11 @@
 A page is cut into text blocks, each with its root-to-leaf tag path.  Per path
 the text length and the punctuation are summed and divided by the number of
 nodes on the path; the two ratios are smoothed over the page, fused, and paths
-above a threshold (a share of the fused values' spread) are content.  The
-article is then the innermost element that holds the content nodes; all its
-blocks are kept but for those under boilerplate elements.
+above a threshold (a share of the fused values' spread) are content.  All article
+and main elements that hold content are then kept whole, but for what is under
+boilerplate elements.  A page without any is kept whole in the same way, but for
+blocks outside the innermost element of all content that are links and nothing else
+(menus without a name); headings and content nodes always stay.
 
 Nulls and empty pages give an empty text; markup without any element is text.
 Repeated rows are extracted once each.
@@ -33,6 +35,7 @@ BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 CLOSES_P = BLOCK - frozenset("br button option select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>\x00]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[^<]+|<", re.S)
@@ -54,6 +57,7 @@ class Node:
 class Block:
     node: int
     pieces: list[str] = field(default_factory=list)
+    links_only: bool = True
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -71,6 +75,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 open_block = Block(next((i for i in reversed(stack) if nodes[i].tag not in INLINE), 0))
                 blocks.append(open_block)
             open_block.pieces.append(_html.unescape(tok))
+            if open_block.links_only and not tok.isspace():
+                open_block.links_only = _linked(nodes, stack)
             continue
         t = _TAG.match(tok)
         if t is None:
@@ -104,6 +110,15 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     return nodes, blocks
 
 
+def _linked(nodes: list[Node], stack: list[int]) -> bool:
+    for i in reversed(stack):
+        if nodes[i].tag not in INLINE:
+            return False
+        if nodes[i].tag == "a":
+            return True
+    return False
+
+
 def path_scores(paths: list[str], lengths: np.ndarray, marks: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Fused and smoothed ratio of each text node, in page order."""
     _, which = np.unique(np.array(paths, object).astype(str), return_inverse=True)
@@ -127,25 +142,24 @@ def extract(page: str | None, threshold: float = 0.5) -> str:
     if not page:
         return ""
     nodes, blocks = parse(page)
-    kept = [(b.node, " ".join("".join(b.pieces).split())) for b in blocks if not nodes[b.node].boiler]
-    kept = [(n, t) for n, t in kept if t]
+    kept = [(b.node, " ".join("".join(b.pieces).split()), b.links_only) for b in blocks if not nodes[b.node].boiler]
+    kept = [x for x in kept if x[1]]
     if not kept:
         return ""
-    lengths = np.array([len(t) for _, t in kept], float)
-    fused = path_scores([nodes[n].path for n, _ in kept], lengths, np.array([len(_PUNCT.findall(t)) for _, t in kept], float))
+    lengths = np.array([len(t) for _, t, _ in kept], float)
+    fused = path_scores([nodes[n].path for n, _, _ in kept], lengths, np.array([len(_PUNCT.findall(t)) for _, t, _ in kept], float))
     content = fused >= min(threshold * fused.std(), fused.max())
     weight: dict[int, float] = {}
-    for (n, _), size, good in zip(kept, lengths, content):
+    for (n, _, _), size, good in zip(kept, lengths, content):
         while good and n >= 0:
             weight[n] = weight.get(n, 0.0) + size
             n = nodes[n].parent
     articles = [i for i, x in enumerate(nodes) if x.tag in ("article", "main") and not x.boiler and weight.get(i, 0) > 0]
     if articles:
-        outer = [i for i in articles if not _inside(nodes, nodes[i].parent, set(articles))]
-        roots = {max(outer, key=lambda i: (weight[i], -i))}
-    else:
-        roots = {max((i for i in weight if nodes[i].tag not in INLINE and weight[i] >= 0.9 * weight[0] and (nodes[i].tag != "p" or i == 0)), default=0)}
-    return "\n".join(t for n, t in kept if _inside(nodes, n, roots))
+        roots = set(articles)
+        return "\n".join(t for n, t, _ in kept if _inside(nodes, n, roots))
+    root = {max(i for i in weight if weight[i] == weight[0])}
+    return "\n".join(t for (n, t, links_only), good in zip(kept, content) if good or not links_only or nodes[n].tag in HEADINGS or _inside(nodes, n, root))
 
 
 def _inside(nodes: list[Node], n: int, roots: set[int]) -> bool:

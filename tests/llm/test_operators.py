@@ -104,6 +104,24 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_nothing_around_the_longest_block_is_lost():
+    long = "A long text, with stops. " * 40
+    menu = "".join(f"<li><a href=x>Menu {i}</a>" for i in range(9))
+    for start, end in (("<div class=text>", "</div>"), ("<blockquote>", "</blockquote>"), ("<ul><li>", "</ul>"), ("<pre>", "</pre>"), ("<section><p>", "</section>")):
+        middle = f"<h1><a href=c>Title</a></h1><p>short lead</p>{start}{long}{end}<p>An end.</p>"
+        want = f"Title\nshort lead\n{long.strip()}\nAn end."
+        assert html_extract.extract(f"<body><div id=top>{middle}</div><footer>f</footer></body>") == want, start
+        found = html_extract.extract(f"<body><ul>{menu}</ul><p>One. Two. Three.</p><p>Four. Five. Six.</p><div>{middle}</div></body>")
+        assert found.endswith(f"One. Two. Three.\nFour. Five. Six.\n{want}") and "Menu 0" not in found, start
+    assert html_extract.extract(f"<h1>Title</h1><p>lead</p><div><p>{long}</p></div>") == f"Title\nlead\n{long.strip()}"
+
+
+def test_all_articles_that_hold_content_are_kept():
+    one, two = "First text, with stops. " * 20, "Second text, with stops. " * 30
+    page = f"<body><nav>menu</nav><article><h2>A</h2><p>{one}</p></article><div><article><h2>B</h2><p>{two}</p></article></div><p>out</p></body>"
+    assert html_extract.extract(page) == f"A\n{one.strip()}\nB\n{two.strip()}"
+
+
 def test_entities_are_decoded():
     assert html_extract.extract("<article><p>&eacute;&#233;&#xe9; &amp &quot;</p></article>") == html.unescape("&eacute;&#233;&#xe9; &amp &quot;")
 
