@@ -244,9 +244,8 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
     return T.checkpointed(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "guest").mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its class) of every row of documents (doc_id, text)."""
-    documents = documents.select("doc_id", "text")
+def _classes(documents: DataFrame, similarity: float) -> DataFrame:
+    """k1, k2, rep and top (a node that stands for its class) of every distinct text of documents (doc_id, text)."""
     nodes = _signed(documents)
     signed = nodes.where("sig is not null").select("node", "sig")
 
@@ -265,12 +264,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     centres = centred.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     stars = centred.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     best = _estimated(stars, signed).groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    texts = T.settled(
-        keyed(documents)
-        .join(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
-        .select("node", "text")
-        .dropDuplicates(["node"])
-    )
+    several = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("k1").alias("n1"), F.col("k2").alias("n2"), "rep")
+    whole = keyed(documents)
+    texts = T.settled(whole.join(several, (whole["k1"] == several["n1"]) & (whole["k2"] == several["n2"]) & whole["doc_id"].eqNullSafe(several["rep"])).select("node", "text").dropDuplicates(["node"]))
     edges = _verified(best, texts, similarity)
     labels = T.checkpointed(components(edges))
     more = _rest(members, labels, signed, texts, similarity)
@@ -278,15 +274,28 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     upper = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     tops = labels.join(upper, "comp", "full").select(F.coalesce("node", "comp").alias("node"), F.coalesce("top", "comp").alias("top"))
-    classes = nodes.select("node", "k1", "k2", "rep").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    return nodes.select("node", "k1", "k2", "rep").join(tops, "node", "left").select("k1", "k2", "rep", F.coalesce("top", "node").alias("top"))
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its class) of every row of documents (doc_id, text)."""
+    documents = documents.select("doc_id", "text")
+    classes = _classes(documents, similarity)
     least = classes.groupBy("top").agg(F.min("rep").alias("class_id"))
     named = T.settled(classes.join(least, "top").select("k1", "k2", "class_id"))
     return keyed(documents).select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id")
 
 
 def first_of_class(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """documents with one row of each class: that with the smallest doc_id (one of equal rows)."""
-    found = near_duplicates(documents, similarity)
-    kept = T.settled(found.where("doc_id <=> class_id").select("doc_id").distinct())
+    """documents with one row of each class: that with the smallest doc_id (one of equal rows).
+
+    Classes are told apart by their texts, not by doc_id, which may be null or repeated; a row
+    without doc_id stays only if its class has no other.
+    """
+    first = F.min_by(F.struct("k1", "k2", "rep"), F.struct(F.col("rep").isNull(), "rep", "k1", "k2"))
+    kept = T.settled(_classes(documents.select("doc_id", "text"), similarity).groupBy("top").agg(first.alias("f")).select(F.col("f.k1").alias("__f1"), F.col("f.k2").alias("__f2"), F.col("f.rep").alias("__rep")))
     T.drop_shuffles(documents.sparkSession)
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
+    same = (rows["__k1"] == kept["__f1"]) & (rows["__k2"] == kept["__f2"]) & rows["doc_id"].eqNullSafe(kept["__rep"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")

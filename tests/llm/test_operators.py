@@ -286,6 +286,23 @@ def test_near_duplicates(spark, documents):
     assert probminhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_first_of_class_with_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    base = [sentence(rng, 60) for _ in range(12)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(None, t) for t in base[:4]] + [(None, near(base[0])), (None, base[1]), (None, None), (None, "")]
+    rows += [(5, base[4]), (5, base[5]), (5, near(base[4])), (5, base[4])]
+    rows += [(None, base[6]), (9, near(base[6])), (None, base[7]), (11, base[7]), (10, near(base[7])), (12, base[8])]
+    rows += [(None, f"{sentence(rng, 30)}") for _ in range(30)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    kept = {r["row"] for r in probminhash.first_of_class(df).collect()}
+    classes = brute_classes([(k, t or "") for k, (_, t) in enumerate(rows)])
+    assert sorted(len(kept & c) for c in classes) == [1] * len(classes)
+    for c in classes:
+        ids = [rows[k][0] for k in c if rows[k][0] is not None]
+        assert {rows[k][0] for k in kept & c} == {min(ids) if ids else None}
+
+
 def test_chains_of_near_copies_come_together(spark):
     """Neighbours of a chain are alike, its ends are not; blocks are made small."""
     rng = random.Random(8)
