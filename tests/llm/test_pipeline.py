@@ -1,6 +1,7 @@
 """The pipeline's stages on their own, and end to end on the smallest tables."""
 
 import os
+import random
 
 import pytest
 
@@ -24,6 +25,26 @@ def test_stages_keep_the_columns(spark):
     assert packed.select("doc_id").distinct().count() == before.count()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_drops_foreign_text_and_junk(spark):
+    rng = random.Random(3)
+    odd = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5,
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。" * 5,
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια. " * 5,
+        "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. " * 5,
+        " ".join("%032x" % rng.getrandbits(128) for _ in range(10)),
+        "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=400)),
+        "123 ?!",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    kept = corpus_pipeline.language(spark, docs.unionByName(extra, allowMissingColumns=True), "")
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert min(ids) >= 0
+    assert len(ids) >= 0.99 * docs.where("lang is not null").count()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
