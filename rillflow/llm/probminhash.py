@@ -1,10 +1,9 @@
 """MinHash near-duplicates by ProbMinHash.
 
-Every distinct shingle of five words (weight: 1 plus a small share of the
-logarithm of its count) is a Poisson process whose arrivals fall on random
-registers; a register keeps the shingle that arrives first.  A shingle stops
+Every distinct shingle of five words (all of one weight, as links do not count
+repeats either) is a Poisson process whose arrivals fall on random registers; a register keeps the shingle that arrives first.  A shingle stops
 once its next arrival is later than all of the document's registers.  The share
-of equal registers estimates the probability Jaccard index of two documents.
+of equal registers estimates the Jaccard index of two documents.
 
 Registers are banded.  Two texts that share a bucket are compared on their
 whole shingle sets, and linked if the Jaccard index is at least 0.8; classes are
@@ -42,7 +41,6 @@ REGISTERS = BANDS * ROWS
 #: Estimates below this (five standard errors under 0.8) are no candidates.
 LEAST_ESTIMATE = 0.62
 BLOCK = 256
-COUNT_WEIGHT = 0.1
 
 
 def distinct_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +60,7 @@ def distinct_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 def signatures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Registers (rows, REGISTERS) as uint32 and whether the row has any shingle."""
     n = len(bounds) - 1
-    h, row, count = distinct_shingles(data, bounds)
-    weight = 1.0 + COUNT_WEIGHT * np.log2(np.maximum(count, 1))
+    h, row, _ = distinct_shingles(data, bounds)
     first = np.full(n * REGISTERS, np.inf)
     winner = np.zeros(n * REGISTERS, np.uint32)
     some = np.zeros(n, bool)
@@ -73,7 +70,7 @@ def signatures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     while len(h):
         step += 1
         draw = T.mix(h + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / weight
+        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53)
         slot = row * REGISTERS + (T.mix(draw) % np.uint64(REGISTERS)).astype(np.int64)
         hit = np.flatnonzero(time < first[slot])
         hit = hit[np.lexsort((h[hit], time[hit]))[::-1]]
@@ -81,7 +78,7 @@ def signatures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         winner[slot[hit]] = (h[hit] >> np.uint64(32)).astype(np.uint32)
         last = first.reshape(n, REGISTERS).max(1)
         live = np.flatnonzero(time < last[row])
-        h, row, weight, time = h[live], row[live], weight[live], time[live]
+        h, row, time = h[live], row[live], time[live]
     return winner.reshape(n, REGISTERS), some
 
 

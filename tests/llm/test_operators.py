@@ -332,6 +332,20 @@ def test_register_shares_estimate_the_index():
     assert some.all() and abs((s[0] == s[1]).mean() - probminhash.jaccard(a, b)) < 0.15
 
 
+def test_repeats_do_not_change_the_estimate():
+    rng = random.Random(22)
+    found, want = [], []
+    for _ in range(30):
+        words = sentence(rng, 100).split()
+        a = " ".join(words)
+        b = " ".join([" ".join(words[:50])] * 200 + words[50:])
+        raw = (a + b).encode()
+        s, _ = probminhash.signatures(np.frombuffer(raw, np.uint8), np.array([0, len(a), len(raw)]))
+        found.append((s[0] == s[1]).mean())
+        want.append(probminhash.jaccard(a, b))
+    assert abs(np.mean(found) - np.mean(want)) < 0.02
+
+
 # ------------------------------------------------------------------ classifiers
 
 
