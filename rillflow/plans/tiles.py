@@ -214,6 +214,8 @@ def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str],
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"tiles did not settle in {rounds} rounds")
     return tiled.groupBy("ty", "tx").cogroup(rim.groupBy("ty", "tx")).applyInPandas(lambda key, rows, r: run(key[0], key[1], rows, r, False), schema)
 
 

@@ -285,3 +285,13 @@ def test_compatible():
     assert len(GridMeta(3, 4).assert_compatible(GridMeta(3, 4, xleft=1.0))) == 1
     with pytest.raises(IncompatibleGrids):
         GridMeta(3, 4).assert_compatible(GridMeta(4, 3))
+
+
+def test_tiles_that_do_not_settle_are_an_error(spark):
+    from rillflow.plans import tiles
+
+    cells = spark.createDataFrame([(r, c, 1.0) for r in range(8) for c in range(8)], "row int, col int, x double")
+    run = lambda rounds: tiles.solve(cells, GridMeta(8, 8), lambda patch: {"v": patch.values["x"].ravel()}, ["v"], ["v"], size=4, rounds=rounds)
+    with pytest.raises(RuntimeError, match="settle"):
+        run(1)
+    assert run(2).count() == 64
