@@ -2,12 +2,13 @@
 
 A page is cut into text blocks, each with its root-to-leaf tag path.  Per path
 the text length and the punctuation are summed and divided by the number of
-nodes on the path; the two ratios are smoothed over the page, fused, and paths
-above a threshold (a share of the fused values' spread) are content.  All article
-and main elements that hold content are then kept whole, but for what is under
-boilerplate elements.  A page without any is kept whole in the same way, but for
-blocks outside the innermost element of all content that are links and nothing else
-(menus without a name); headings and content nodes always stay.
+blocks on the path; both ratios are smoothed over the page's blocks and fused, and a
+path whose blocks reach a threshold on average (a share of the fused values' spread) is
+content.  The text is made of the blocks on content paths, of what lies between
+them, and of headings and paragraphs with punctuation that lead up to the first one.  Elements that are boilerplate by their tag,
+or by a class, id or role word, are left out in any case, and so are blocks of links and
+nothing else (menus without a name) unless their path is content.  In article and main
+elements a path needs only `inside` of the threshold, which breaks ties on pages of little text.
 
 Nulls and empty pages give an empty text; markup without any element is text.
 Repeated rows are extracted once each.
@@ -30,14 +31,16 @@ RAW = frozenset("script style textarea title noscript template iframe svg math".
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
+# What is no part of an article: menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe svg math head title button select textarea menu dialog object canvas".split())
-BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
-)
+BOILERPLATE_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising menu menus nav navbar navigation header footer sidebar notice notices cookie cookies form forms comment comments".split())
 CLOSES_P = BLOCK - frozenset("br button option select".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
+#: Share of the fused values' spread that a path's average must reach, and of that in article and main elements.
+THRESHOLD, INSIDE = 0.5, 0.25
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>\x00]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)", re.S)
 _NAMES = re.compile(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -49,8 +52,8 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in RAW}
 class Node:
     tag: str
     path: str
-    parent: int
     boiler: bool
+    article: bool  # in an article or main element
 
 
 @dataclass
@@ -62,7 +65,7 @@ class Block:
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """Element nodes, and text blocks in page order; raw elements keep no text."""
-    nodes = [Node("", "", -1, False)]
+    nodes = [Node("", "", False, False)]
     stack = [0]
     blocks: list[Block] = []
     open_block: Block | None = None
@@ -105,7 +108,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         names = {w for x in _NAMES.findall(tok) for w in re.split(r"[^a-z]+", x.lower()) if w} if "=" in tok else set()
         up = nodes[stack[-1]]
         label = tag + "".join(f".{w}" for w in sorted(names))
-        nodes.append(Node(tag, f"{up.path}/{label}", stack[-1], up.boiler or tag in BOILERPLATE or (tag not in ("html", "body", "main", "article") and bool(names & BOILERPLATE_NAMES))))
+        boiler = tag in BOILERPLATE or (tag not in ("html", "body", "main", "article") and bool(names & BOILERPLATE_NAMES))
+        nodes.append(Node(tag, f"{up.path}/{label}", up.boiler or boiler, up.article or tag in ("article", "main")))
         stack.append(len(nodes) - 1)
     return nodes, blocks
 
@@ -119,63 +123,77 @@ def _linked(nodes: list[Node], stack: list[int]) -> bool:
     return False
 
 
-def path_scores(paths: list[str], lengths: np.ndarray, marks: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Fused and smoothed ratio of each text node, in page order."""
-    _, which = np.unique(np.array(paths, object).astype(str), return_inverse=True)
-    on_path = np.bincount(which)
-    text_ratio = (np.bincount(which, lengths) / on_path)[which]
-    mark_ratio = (np.bincount(which, marks) / on_path)[which]
-    reach = np.arange(-2, 3)
-    kernel = np.exp(-(reach**2) / (2 * sigma**2))
-    norm = np.convolve(np.ones(len(which)), kernel, "same") if len(which) >= 5 else None
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        if norm is None:
-            return x
-        return np.convolve(x, kernel, "same") / norm
-
-    return smooth(text_ratio) * (1.0 + smooth(mark_ratio))
-
-
-def extract(page: str | None, threshold: float = 0.5) -> str:
+def smoothed(values: np.ndarray, sigma: float = 1.0, reach: int = 2) -> np.ndarray:
+    """Gaussian average of each value and up to reach neighbours on either side."""
+    total, weight = values.astype(float).copy(), np.ones(len(values))
+    for d in range(1, min(reach, len(values) - 1) + 1):
+        w = np.exp(-(d**2) / (2 * sigma**2))
+        total[d:] += w * values[:-d]
+        total[:-d] += w * values[d:]
+        weight[d:] += w
+        weight[:-d] += w
+    return total / weight
+
+
+def path_scores(paths: list[str], lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Fused, smoothed ratio of each block, in page order."""
+    number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
+    which = np.array([number[p] for p in paths])
+    blocks = np.bincount(which)
+    text_ratio = (np.bincount(which, lengths) / blocks)[which]
+    mark_ratio = (np.bincount(which, marks) / blocks)[which]
+    return smoothed(text_ratio) * (1.0 + smoothed(mark_ratio))
+
+
+def content_paths(paths: list[str], fused: np.ndarray, favoured: np.ndarray, sizes: np.ndarray, threshold: float, inside: float) -> np.ndarray:
+    """Whether each block is on a content path: one whose average reaches the threshold's share of the spread.
+
+    Beside article elements with content, a path must reach it without its neighbours, too.
+    """
+    number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
+    which = np.array([number[p] for p in paths])
+    score, least = np.bincount(which, fused) / np.bincount(which), threshold * fused.std()
+    good = score[which] >= least * np.where(favoured, inside, 1.0)
+    if (good & favoured).any():
+        own = np.bincount(which, sizes) / np.bincount(which)
+        good &= favoured | (own[which] >= least)
+    return good
+
+
+def extract(page: str | None, threshold: float = THRESHOLD, inside: float = INSIDE) -> str:
     """The main text of a page: blocks joined by one newline, empty if there is none."""
     if not page:
         return ""
     nodes, blocks = parse(page)
-    kept = [(b.node, " ".join("".join(b.pieces).split()), b.links_only) for b in blocks if not nodes[b.node].boiler]
-    kept = [x for x in kept if x[1]]
-    if not kept:
+    found = [(nodes[b.node], " ".join("".join(b.pieces).split()), b.links_only) for b in blocks]
+    found = [x for x in found if x[1]]
+    if not found:
         return ""
-    lengths = np.array([len(t) for _, t, _ in kept], float)
-    fused = path_scores([nodes[n].path for n, _, _ in kept], lengths, np.array([len(_PUNCT.findall(t)) for _, t, _ in kept], float))
-    content = fused >= min(threshold * fused.std(), fused.max())
-    weight: dict[int, float] = {}
-    for (n, _, _), size, good in zip(kept, lengths, content):
-        while good and n >= 0:
-            weight[n] = weight.get(n, 0.0) + size
-            n = nodes[n].parent
-    articles = [i for i, x in enumerate(nodes) if x.tag in ("article", "main") and not x.boiler and weight.get(i, 0) > 0]
-    if articles:
-        roots = set(articles)
-        return "\n".join(t for n, t, _ in kept if _inside(nodes, n, roots))
-    root = {max(i for i in weight if weight[i] == weight[0])}
-    return "\n".join(t for (n, t, links_only), good in zip(kept, content) if good or not links_only or nodes[n].tag in HEADINGS or _inside(nodes, n, root))
-
-
-def _inside(nodes: list[Node], n: int, roots: set[int]) -> bool:
-    while n >= 0:
-        if n in roots:
-            return True
-        n = nodes[n].parent
-    return False
-
-
-def extract_pages(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
+    paths = [n.path for n, _, _ in found]
+    lengths, marks = np.array([len(t) for _, t, _ in found], float), np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
+    fused = path_scores(paths, lengths, marks)
+    content = content_paths(paths, fused, np.array([n.article for n, _, _ in found]), lengths * (1.0 + marks), threshold, inside)
+    content &= ~np.array([n.boiler for n, _, _ in found])
+    at = np.flatnonzero(content)
+    if not len(at):
+        return ""
+    kept: list[str] = []
+    after = False  # whether the block after this one is kept
+    for i in range(int(at[-1]), -1, -1):
+        node, text, links_only = found[i]
+        leads = after and (node.tag in HEADINGS or (node.tag == "p" and not links_only and _PUNCT.search(text) is not None))
+        after = not node.boiler and (bool(content[i]) or (i > at[0] and not links_only) or leads)
+        if after:
+            kept.append(text)
+    return "\n".join(reversed(kept))
+
+
+def extract_pages(pages: DataFrame, threshold: float = THRESHOLD, inside: float = INSIDE) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [extract(None if h is None else str(h), threshold) for h in b["html"]]
+            text = [extract(None if h is None else str(h), threshold, inside) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = dict(pages.dtypes)

@@ -122,6 +122,91 @@ def test_all_articles_that_hold_content_are_kept():
     assert html_extract.extract(page) == f"A\n{one.strip()}\nB\n{two.strip()}"
 
 
+def page_with(rng, k):
+    """A page without article tags and without names for its boilerplate, and the text of its article."""
+    body = [sentence(rng, rng.randint(15, 80)).capitalize() + ", and more." for _ in range(rng.randint(3, 9))]
+    links = "".join(f"<li><a href=/{i}>{sentence(rng, 1)}</a></li>" for i in range(rng.randint(4, 9)))
+    return f"<html><body><div class=x1><ul>{links}</ul></div><div class=x3><h1>Title {k}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><div class=x4><ul>{links}</ul></div></body></html>", "\n".join([f"Title {k}", *body])
+
+
+def test_ratios_alone_find_the_article_and_shuffled_ones_do_not(monkeypatch):
+    rng = random.Random(5)
+    made = [page_with(rng, k) for k in range(60)]
+    assert sum(html_extract.extract(p) == t for p, t in made) >= 57
+    real, order = html_extract.path_scores, np.random.default_rng(2)
+    for change in (lambda *a: order.permutation(real(*a)), lambda *a: 1 / (1 + real(*a)), lambda *a: np.ones(len(a[0]))):
+        monkeypatch.setattr(html_extract, "path_scores", change)
+        assert sum(html_extract.extract(p) == t for p, t in made) <= 40
+
+
+def plain_extraction(page):
+    """Ratios and thresholds of pages whose tags are all closed and whose text lies in leaves, by the standard parser and loops."""
+    import math
+    from html.parser import HTMLParser
+
+    blocks, stack = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            names = sorted(w for k, v in attrs if k in ("class", "id", "role") for w in v.split())
+            stack.append((tag, tag + "".join("." + n for n in names), names))
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                out = any(t in html_extract.BOILERPLATE or set(n) & html_extract.BOILERPLATE_NAMES for t, _, n in stack)
+                blocks.append(("/".join(x for _, x, _ in stack), data.strip(), out, any(t in ("article", "main") for t, _, _ in stack), stack[-1][0]))
+
+    Reader().feed(page)
+    length, marks, count = {}, {}, {}
+    for path, text, *_ in blocks:
+        length[path] = length.get(path, 0) + len(text)
+        marks[path] = marks.get(path, 0) + sum(c in ".,;:!?" for c in text)
+        count[path] = count.get(path, 0) + 1
+
+    def smooth(of):
+        out = []
+        for i in range(len(blocks)):
+            near = [(math.exp(-((j - i) ** 2) / 2), of[blocks[j][0]] / count[blocks[j][0]]) for j in range(max(0, i - 2), min(len(blocks), i + 3))]
+            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        return out
+
+    fused = [a * (1 + b) for a, b in zip(smooth(length), smooth(marks))]
+    mean = sum(fused) / len(fused)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+    score = {p: sum(f for f, b in zip(fused, blocks) if b[0] == p) / count[p] for p in count}
+    good = [not out and score[p] >= 0.5 * spread * (0.25 if inside else 1) for p, _, out, inside, _ in blocks]
+    if any(g and b[3] for g, b in zip(good, blocks)):
+        own = {p: sum(len(b[1]) * (1 + sum(c in ".,;:!?" for c in b[1])) for b in blocks if b[0] == p) / count[p] for p in count}
+        good = [g and (b[3] or own[b[0]] >= 0.5 * spread) for g, b in zip(good, blocks)]
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+    keep = [False] * (len(good) + 1)
+    for i in range(last, -1, -1):
+        keep[i] = not blocks[i][2] and (good[i] or (i > first and blocks[i][4] != "a") or (keep[i + 1] and (blocks[i][4] == "h1" or (blocks[i][4] == "p" and any(c in blocks[i][1] for c in ".,;:!?")))))
+    return "\n".join(b[1] for b, k in zip(blocks, keep) if k)
+
+
+def test_extraction_is_that_of_plain_loops():
+    rng = random.Random(6)
+    for k in range(80):
+        page, _ = page_with(rng, k)
+        if k % 3 == 0:
+            page = page.replace("class=x3", "class=x5").replace("<div class=x1>", "<aside>").replace("</div><div class=x5>", "</aside><div class=x5>")
+        if k % 4 == 0:
+            page = page.replace("<div class=x3>", "<article>").replace("</div><div class=x4>", "</article><div class=x4>")
+        assert html_extract.extract(page) == plain_extraction(page)
+
+
+def test_extraction_of_long_and_repeated_pages(spark):
+    rng = random.Random(7)
+    long = "".join(f"<p>{sentence(rng, 30)}, here.</p>" for _ in range(20_000))
+    df = spark.createDataFrame([(1, "u", f"<body><nav>menu</nav><article><h1>T</h1>{long}</article></body>")] * 2 + [(None, None, "<p>x, y.</p>")], "page_id long, url string, html string")
+    found = html_extract.extract_pages(df).collect()
+    assert sorted(r["text"].count("\n") for r in found) == [0, 20_000, 20_000] and {r["url"] for r in found} == {"u", None}
+
+
 def test_entities_are_decoded():
     assert html_extract.extract("<article><p>&eacute;&#233;&#xe9; &amp &quot;</p></article>") == html.unescape("&eacute;&#233;&#xe9; &amp &quot;")
 
