@@ -1,44 +1,53 @@
-"""Benchmark decontamination: pieces of items counted along diagonals, exact edit check.
+"""Benchmark decontamination: random walks over item-sized windows, bit sampling, exact edit check.
 
 A document holds an item if some part of it is within an edit distance of `share`
-of the item's length.  Each item is cut into disjoint pieces of about `piece`
-bytes, at borders of characters.  An edit breaks at most one piece, so of n pieces
-at least n - most stand unchanged in the document, most being the edits allowed,
-and their diagonals (place in the document less place in the item) lie within
-4 * most bytes, as an edit moves what follows by one character at most.
-
-Pieces are looked up at every byte of a document, by the hash of their first bytes; an
-item is a candidate where so many hits lie so close.  Each candidate is then checked by a
-bit-parallel edit distance, free at the window's ends.  The piece length is the largest
-at which one piece at least is left at every item length, so nothing is lost: recall is 1
-at every distance up to `share`, whatever the item's length and wherever the edits are.
-
-Texts are compared in ASCII lower case, white space runs as one space.  Items
-are looked up in parts of about PART_BYTES, each sent to all tasks, so what is
-broadcast is bounded; documents are read once for each part.  Items under MIN_BYTES
-bytes are found only as exact words, between white space, punctuation or a text's ends.  Null and empty texts and items hold
-nothing.  Repeated rows are reported once each; equal items each.
+of the item's length.  A walk reads a window from its start: at each step it writes down the
+byte it stands on and a random bit of that step and byte says whether it moves on (the
+CGK embedding).  Walks of equal randomness over two windows come together again after
+an edit, so windows at a small edit distance have outputs at a small Hamming distance.
+
+Windows are as long as the items: an item belongs to the largest of WINDOWS that is no more
+than FIT of its length, and has one window for each word that leaves room, so a chance for each.
+Documents have a window at every word.  For each class, sets of `bits` steps are drawn from the
+whole walk; windows that agree on all steps of a set are candidates, if they
+agree on LEAST_AGREEMENT of all steps drawn, too.  Walks are added until items that
+are edited at random by the whole of `share` are found with probability `recall` in every
+class (measured on up to TRIALS items of each; bits grow with the logarithm of the number of
+item windows).  Every candidate is checked by a bit-parallel edit distance, free at the window's ends.
+
+Texts are compared in ASCII lower case, white space runs as one space.  Words begin after white space and
+punctuation, and scripts without spaces at every character.  Items are looked up in parts of about
+PART_BYTES, each sent to all tasks, so what is broadcast is bounded.  Items
+under MIN_BYTES bytes, or without a word, are found only as they stand, between white space, punctuation or a text's
+ends.  Null and empty texts and items hold nothing.  Repeated rows are reported once each; equal items each.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as T
 
-SHARE = 0.1
+SHARE, RECALL = 0.1, 0.98
 MIN_BYTES = 24
 PART_BYTES = 32 << 20
-#: Hits that are counted at a time.
-HITS = 1 << 21
-#: A power of two; its logarithm is the number of leading hash bits that are looked up first.
-SLOT_BITS = 22
+#: Lengths of windows in bytes, and the largest share of an item that its windows have.
+WINDOWS, FIT = (18, 30, 46, 64), 0.8
+#: Sets of steps drawn from each walk for each class, most walks, and items that are edited to choose their number.
+SETS, MOST_WALKS, TRIALS = 8, 16, 150
+LEAST_AGREEMENT = 0.55
+#: Steps that one table look-up takes.
+STRIDE = 3
+#: 0 to 31 for each byte: letters apart, then stops, digits, other ASCII, and two for all others.
+LETTER = np.array([b - 96 if 97 <= b <= 122 else 0 if b == 32 else 27 if b in b".," else 28 if 48 <= b <= 57 else 29 if b < 128 else 30 + (b & 1) for b in range(256)], np.uint8)
 
 
 def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,110 +63,200 @@ def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.concatenate(([0], np.cumsum(keep)))[bounds]
 
 
-def piece_bytes(share: float, most: int = 12) -> int:
-    """The largest length of pieces at which every item of MIN_BYTES characters or more has more pieces than edits."""
-    for size in range(most, 1, -1):
-        # beyond this length there is a piece to spare at any length if there ever is
-        if share * size < 1 and all(n // size > int(share * n) for n in range(MIN_BYTES, MIN_BYTES + int(2 * size / (1 - share * size)))):
-            return size
-    return 1
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where windows begin: at runs of letters and digits, and at characters of three bytes or more."""
+    word = T.BYTE_KIND[data] == 1
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    return np.flatnonzero(first | (data >= 0xE0))
+
+
+@lru_cache(maxsize=64)
+def walk_tables(walk: int) -> np.ndarray:
+    """For every STRIDE steps of a walk and any STRIDE letters ahead, how many of them it passes."""
+    random_bits = np.random.default_rng([11, walk]).integers(0, 2, (2 * WINDOWS[-1], 32), np.uint8)
+    ahead = np.arange(32**STRIDE)
+    letters = np.stack([ahead >> (5 * (STRIDE - 1 - k)) & 31 for k in range(STRIDE)])
+    out = np.zeros((2 * WINDOWS[-1] // STRIDE, len(ahead)), np.uint8)
+    for j in range(len(random_bits) // STRIDE * STRIDE):
+        at = out[j // STRIDE]
+        at += random_bits[j][letters[at, ahead]]
+    return out
 
 
-def cuts(raw: bytes, size: int) -> list[int]:
-    """Starts of the disjoint pieces of raw: whole characters, each as few as have size bytes."""
-    out, at = [], 0
-    while at + size <= len(raw):
-        out.append(at)
-        at += size
-        while at < len(raw) and raw[at] & 0xC0 == 0x80:
-            at += 1
-    return out
+@lru_cache(maxsize=64)
+def drawn(walk: int, window: int, bits: int) -> np.ndarray:
+    """SETS sets of bits of the strides of a walk over a window."""
+    random_sets = np.random.default_rng([12, walk, window])
+    return np.stack([np.sort(random_sets.choice(2 * window // STRIDE, bits, replace=False)) for _ in range(SETS)])
+
+
+class Walks:
+    """Outputs of walks from starts in data, a row for each stride."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        self.letters = np.concatenate([LETTER[data], np.zeros(2 * WINDOWS[-1] + STRIDE, np.uint8)])
+        ahead = self.letters.astype(np.int64)
+        self.ahead = sum(ahead[k : len(ahead) - STRIDE + 1 + k] << (5 * (STRIDE - 1 - k)) for k in range(STRIDE))
+        self.starts = starts
+
+    def outputs(self, walk: int, window: int) -> np.ndarray:
+        table, at = walk_tables(walk), self.starts.astype(np.int64)
+        out = np.empty((2 * window // STRIDE, len(at)), np.uint32)
+        for g in range(len(out)):
+            code = self.ahead.take(at)
+            np.right_shift(code, 5 * (STRIDE - 1), out=out[g], casting="unsafe")
+            at += table[g].take(code)
+        return out
+
 
+def keys_of(out: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """One number for each window from the outputs at a set of steps."""
+    key = np.zeros(out.shape[1], np.uint32)
+    for g in steps:
+        key *= np.uint32(0x01000193)
+        key ^= out[g]
+    return key * np.uint32(0x9E3779B1)
 
-def keys_at(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the size bytes from each place on."""
-    n = max(len(data) - size + 1, 0)
-    key = np.zeros(n, np.uint64)
-    for j in range(size):
-        key = key * np.uint64(0x100000001B3) + data[j : n + j]
-    return T.mix(key)
+
+@dataclass
+class Class:
+    """Item windows of one length."""
+
+    window: int
+    data: np.ndarray  # all items of the class, one after the other
+    starts: np.ndarray  # of the windows in data
+    owner: np.ndarray  # (item, byte offset in it) of each window
+    bits: int
+
+    @staticmethod
+    def of(window: int, raw: list[bytes], numbers: list[int]) -> Class:
+        starts, owner, at = [], [], 0
+        for k in numbers:
+            first = word_starts(np.frombuffer(raw[k], np.uint8))
+            first = first[(first <= len(raw[k]) - window) | (first == first[0])]
+            starts.append(first + at)
+            owner.append(np.stack([np.full(len(first), k), first], 1))
+            at += len(raw[k]) + 2 * window
+        gap = b" " * (2 * window)
+        found = np.concatenate(starts)
+        # chance agreement of two letters is about 1 in 14
+        bits = int(np.clip(np.ceil(np.log(len(found) / 0.02) / np.log(14)), 6, 10))
+        return Class(window, np.frombuffer(gap.join(raw[k] for k in numbers) + gap, np.uint8), found, np.concatenate(owner), bits)
+
+    def table(self, walk: int) -> tuple:
+        """Per set (which leading bits of keys occur, sorted keys, their windows, shift to the leading bits); outputs at all drawn strides, these, and the sets."""
+        out = Walks(self.data, self.starts).outputs(walk, self.window)
+        sets = drawn(walk, self.window, self.bits)
+        used = np.unique(sets)
+        size = int(np.clip(np.ceil(np.log2(16 * len(self.starts))), 12, 24))
+        made = []
+        for steps in sets:
+            key = keys_of(out, steps)
+            order = np.argsort(key, kind="stable")
+            slots = np.zeros(1 << size, bool)
+            slots[key >> np.uint32(32 - size)] = True
+            made.append((slots, key[order], order, 32 - size))
+        return made, out[used].astype(np.uint8), used, sets
+
+    def matches(self, table: tuple, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window in the document, window in the items) that agree on a set of steps and on enough of all steps."""
+        made, outputs, used, sets = table
+        ours, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for (slots, keys, order, shift), steps in zip(made, sets):
+            key = keys_of(out, steps)
+            live = np.flatnonzero(slots.take(key >> np.uint32(shift)))
+            lo, hi = np.searchsorted(keys, key[live], "left"), np.searchsorted(keys, key[live], "right")
+            hit = hi > lo
+            live, lo, n = live[hit], lo[hit], (hi - lo)[hit]
+            total = np.concatenate(([0], np.cumsum(n)))
+            for i, j in T.slices(total, HITS):
+                at = np.repeat(lo[i:j] - (total[i:j] - total[i]), n[i:j]) + np.arange(total[j] - total[i])
+                a, b = np.repeat(live[i:j], n[i:j]), order[at]
+                good = (out[used[:, None], a] == outputs[:, b]).mean(0) >= LEAST_AGREEMENT
+                ours.append(a[good])
+                theirs.append(b[good])
+        return np.concatenate(ours), np.concatenate(theirs)
+
+
+def edited(item: bytes, edits: int, rng: random.Random) -> bytes:
+    """item with edits random insertions, deletions and substitutions at different places."""
+    out = [item[i : i + 1] for i in range(len(item))]
+    for i in rng.sample(range(len(out)), edits):
+        new = bytes([rng.choice(b"abcdefghijklmnopqrstuvwxyz ")])
+        out[i] = rng.choice((new, b"", out[i] + new))
+    return b"".join(out)
 
 
 @dataclass
 class Items:
-    """Pieces of one part of the items."""
+    """One part of the items."""
 
     raw: list[bytes]
     ids: list
-    size: int  # bytes of a piece that are looked up
-    slots: np.ndarray  # of the leading bits of a key: whether any piece has them
-    keys: np.ndarray  # sorted keys of the pieces
-    owners: np.ndarray  # (item, byte offset) of each piece
-    need: np.ndarray  # per item: pieces that any window within the distance has
-    slack: np.ndarray  # per item: bytes that their diagonals may lie apart
+    classes: list[Class]
+    walks: int
+    recall: dict[int, float]  # of each class, as measured on edited items
     short: list[int]  # items for exact search only
     share: float
 
     @staticmethod
-    def of(ids: list, texts: list[str], share: float) -> Items:
-        size = piece_bytes(share)
-        raw, keys, owners = [], [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
-        need, slack = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    def of(ids: list, texts: list[str], share: float, recall: float = RECALL) -> Items:
+        raw, short, dealt = [], [], {}
         for k, t in enumerate(texts):
             b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
             n, _ = normal(b, np.array([0, len(b)]))
-            r = n.tobytes().strip()
-            raw.append(r)
-            if len(r) < MIN_BYTES:
-                continue
-            at = np.array(cuts(r, size))
-            most = int(share * len(r.decode("utf-8", "replace")))
-            need[k], slack[k] = max(1, len(at) - most), 4 * most
-            keys.append(keys_at(np.frombuffer(r, np.uint8), size)[at])
-            owners.append(np.stack([np.full(len(at), k), at], 1))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
-        slots = np.zeros(1 << SLOT_BITS, bool)
-        slots[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
-        short = [k for k, r in enumerate(raw) if 0 < len(r) < MIN_BYTES]
-        return Items(raw, ids, size, slots, key[order], owner[order], need, slack, short, share)
-
-    def candidates(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (place in data, item, byte offset in the item) where a window in one of the rows begins to have enough pieces."""
-        found = [np.zeros((0, 3), np.int64)]
-        key = keys_at(data, self.size)
-        live = np.flatnonzero(self.slots[(key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.keys, key[live], "left"), np.searchsorted(self.keys, key[live], "right")
-        row = np.searchsorted(bounds, live, "right") - 1
-        hit = np.flatnonzero((hi > lo) & (live + self.size <= bounds[row + 1]))
-        if not len(hit):
+            raw.append(n.tobytes().strip())
+            if len(raw[k]) >= MIN_BYTES and len(word_starts(np.frombuffer(raw[k], np.uint8))):
+                dealt.setdefault(max(w for w in WINDOWS if w <= max(FIT * len(raw[k]), WINDOWS[0])), []).append(k)
+            elif raw[k]:
+                short.append(k)
+        classes = [Class.of(w, raw, numbers) for w, numbers in sorted(dealt.items())]
+        walks, measured = 2, {}
+        for c, numbers in zip(classes, (n for _, n in sorted(dealt.items()))):
+            rng = random.Random(c.window)
+            tried = sorted(numbers, key=lambda k: (len(raw[k]), raw[k]))  # the shortest have the fewest windows
+            tried = tried[:TRIALS // 2] + rng.sample(tried[TRIALS // 2 :], min(TRIALS - TRIALS // 2, max(0, len(tried) - TRIALS // 2)))
+            found, used = np.zeros(0, bool), 0
+            while used < walks or (found.mean() < recall and used < MOST_WALKS):
+                now = Items._finds(c, raw, tried, used, share)
+                found = now if not used else found | now
+                used += 1
+            walks, measured[c.window] = max(walks, used), float(found.mean())
+        return Items(raw, ids, classes, walks, measured, short, share)
+
+    @staticmethod
+    def _finds(c: Class, raw: list[bytes], tried: list[int], walk: int, share: float) -> np.ndarray:
+        """Which of the items a walk finds in copies with as many edits as share allows."""
+        table, out = c.table(walk), np.zeros(len(tried), bool)
+        gap = b" " * (2 * c.window)
+        copies = [edited(raw[k], int(share * len(raw[k])), random.Random(k)) for k in tried]
+        data = np.frombuffer(gap.join(copies) + gap, np.uint8)
+        bounds = np.concatenate(([0], np.cumsum([len(x) + len(gap) for x in copies])))
+        starts = word_starts(data)
+        ours, theirs = c.matches(table, Walks(data, starts).outputs(walk, c.window))
+        row = np.searchsorted(bounds, starts[ours], "right") - 1
+        item, offset = c.owner[theirs].T
+        near = np.abs(starts[ours] - bounds[row] - offset) <= 4 * share * np.array([len(x) for x in copies])[row] + 1
+        out[row[(np.array(tried)[row] == item) & near]] = True
+        return out
+
+    def tables(self) -> list[list[tuple]]:
+        return [[c.table(walk) for c in self.classes] for walk in range(self.walks)]
+
+    def candidates(self, tables: list[list[tuple]], data: np.ndarray) -> np.ndarray:
+        """Distinct (place in data, item, byte offset in the item) of windows that match."""
+        starts, found = word_starts(data), [np.zeros((0, 3), np.int64)]
+        if not self.classes or not len(starts):
             return found[0]
-        live, lo, n, row = live[hit], lo[hit], (hi - lo)[hit], row[hit]
-        total = np.concatenate(([0], np.cumsum(n)))
-        # blocks overlap by as much as the pieces of one window can lie apart
-        span = max(len(r) for r in self.raw) + int(self.slack.max())
-        i = 0
-        while i < len(live):
-            j = max(int(np.searchsorted(total, total[i] + HITS, "right")) - 1, int(np.searchsorted(live, live[i] + 2 * span, "right")))
-            j = min(j, len(live))
-            at = np.repeat(lo[i:j] - (total[i:j] - total[i]), n[i:j]) + np.arange(total[j] - total[i])
-            found.append(self._dense(np.repeat(live[i:j], n[i:j]), np.repeat(row[i:j], n[i:j]), self.owners[at]))
-            if j == len(live):
-                break
-            i = max(i + 1, int(np.searchsorted(live, live[j] - span, "left")))
+        walks = Walks(data, starts)
+        for walk, made in enumerate(tables):
+            out = walks.outputs(walk, self.classes[-1].window)
+            for c, table in zip(self.classes, made):
+                ours, theirs = c.matches(table, out)
+                found.append(np.column_stack([starts[ours], c.owner[theirs]]))
         return np.unique(np.concatenate(found), axis=0)
 
-    def _dense(self, place: np.ndarray, row: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Those hits from which on, by diagonal, the needed number lies within the slack."""
-        item, diagonal = owner[:, 0], place - owner[:, 1]
-        key = row * len(self.raw) + item
-        order = np.lexsort((diagonal, key))
-        key, diagonal, item = key[order], diagonal[order], item[order]
-        last = np.arange(len(key)) + self.need[item] - 1
-        inside = np.minimum(last, len(key) - 1)
-        good = (last < len(key)) & (key[inside] == key) & (diagonal[inside] - diagonal <= self.slack[item])
-        return np.column_stack([place[order], item, owner[order, 1]])[good]
-
     def held(self, text: bytes, hits: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, distance, byte offset of the window) of the items that a normalised text holds; hits: (start, item, offset)."""
         out = []
@@ -179,23 +278,32 @@ class Items:
                     break
             if best[0] <= most:
                 out.append((int(k), *best))
-        for k in self.short:
-            at = find_words(text, self.raw[k])
-            if at >= 0:
-                out.append((k, 0, at))
         return out
 
+    def short_finder(self):
+        """Finds all short items in one pass over a text."""
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for k in self.short:
+            key = self.raw[k].decode("latin-1")
+            finder.add_word(key, (*finder.get(key, (len(key),)), k))
+        finder.make_automaton()
+        return finder
 
-def find_words(text: bytes, item: bytes) -> int:
-    """First place of item in text where no word goes on beyond the item's ends, or -1."""
+
+def exact_words(finder, text: bytes) -> list[tuple[int, int, int]]:
+    """(item, 0, first place) of short items in text where no word goes on beyond the item's ends."""
 
     def joined(i: int) -> bool:
         return 0 < i < len(text) and T.BYTE_KIND[text[i - 1]] == 1 and T.BYTE_KIND[text[i]] == 1
 
-    at = text.find(item)
-    while at >= 0 and (joined(at) or joined(at + len(item))):
-        at = text.find(item, at + 1)
-    return at
+    first: dict[int, int] = {}
+    for last, (size, *items) in finder.iter(text.decode("latin-1")):
+        if not joined(last + 1 - size) and not joined(last + 1):
+            for k in items:
+                first.setdefault(k, last + 1 - size)
+    return [(k, 0, at) for k, at in sorted(first.items())]
 
 
 def distance_within(item: str, region: str) -> int:
@@ -238,42 +346,61 @@ def parts_of(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[tup
         yield [r["item_id"] for r in found], [r["text"] for r in found]
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+#: Matches that are compared at a time.
+HITS = 1 << 18
+
+
+def _found(items: Items, tables: list, finder, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """(row, what it holds) of the rows that hold an item."""
+    for i, j in T.slices(offsets):
+        flat, bounds = normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if not len(flat):
+            continue
+        hits = items.candidates(tables, flat)
+        owner = np.searchsorted(bounds, hits[:, 0], "right") - 1
+        for r in range(j - i) if finder else np.unique(owner):
+            text = flat[bounds[r] : bounds[r + 1]].tobytes()
+            held = items.held(text, hits[owner == r] - np.array([bounds[r], 0, 0])) + (exact_words(finder, text) if finder else [])
+            if held:
+                yield i + int(r), held
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, distance and begin (byte offset in the normalised text) of every item that a document holds."""
     kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kind}, item_id {item_kind}, distance int, begin long"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for ids, texts in parts_of(benchmark):
-        items = Items.of(ids, texts, share)
+        items = Items.of(ids, texts, share, recall)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            tables, finder = items.tables(), items.short_finder() if items.short else None
             for b in batches:
-                data, offsets = T.utf8(b.column("text"))
                 rows, found = [], []
-                for i, j in T.slices(offsets):
-                    flat, bounds = normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    if not len(flat):
-                        continue
-                    hits = items.candidates(flat, bounds)
-                    owner = np.searchsorted(bounds, hits[:, 0], "right") - 1
-                    who = range(j - i) if items.short else np.unique(owner)
-                    for r in who:
-                        own = hits[owner == r] - np.array([bounds[r], 0, 0])
-                        for k, d, at in items.held(flat[bounds[r] : bounds[r + 1]].tobytes(), own):
-                            rows.append(i + int(r))
-                            found.append((items.ids[k], d, at))
+                for r, held in _found(items, tables, finder, *T.utf8(b.column("text"))):
+                    rows += [r] * len(held)
+                    found += held
                 if rows:
-                    frame = pd.DataFrame(found, columns=["item_id", "distance", "begin"])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(rows)), pa.array(list(frame["item_id"]), pa.int64()), pa.array(frame["distance"], pa.int32()), pa.array(frame["begin"], pa.int64())], ["doc_id", "item_id", "distance", "begin"]
-                    )
+                    k, d, at = zip(*found)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([items.ids[x] for x in k], item_type), pa.array(d, pa.int32()), pa.array(at, pa.int64())], ["doc_id", "item_id", "distance", "begin"])
 
-        one = documents.select("doc_id", "text").mapInArrow(run, schema)
+        one = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, distance int, begin long")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """documents without those that hold an item."""
-    bad = leaks(documents, benchmark, share).select("doc_id").distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
+    """documents without the rows that hold an item; every row is judged by its own text, so null and repeated ids do not matter."""
+    for ids, texts in parts_of(benchmark):
+        items = Items.of(ids, texts, share, recall)
+
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            tables, finder = items.tables(), items.short_finder() if items.short else None
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for r, _ in _found(items, tables, finder, *T.utf8(b.column("text"))):
+                    keep[r] = False
+                yield b.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

@@ -562,23 +562,38 @@ def test_leaks(spark):
 def found_in(items, text):
     """Numbers of the items that one text holds."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    flat, bounds = decontam.normal(raw, np.array([0, len(raw)]))
-    return {k for k, _, _ in items.held(flat.tobytes(), items.candidates(flat, bounds))}
+    finder = items.short_finder() if items.short else None
+    return {k for _, held in decontam._found(items, items.tables(), finder, raw, np.array([0, len(raw)])) for k, _, _ in held}
 
 
-@pytest.mark.parametrize("share", [0.1, 0.2])
-def test_items_of_any_length_are_found_at_the_full_distance(share):
+@pytest.mark.parametrize("share", [0.05, 0.08, 0.1])
+def test_recall_in_every_length_class(share):
     rng = random.Random(12)
-    letters = "abcdefghijéß你"
-    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(80))[:n].strip().ljust(n, "q") for n in [*range(24, 130, 3), 200, 400]]
-    items = decontam.Items.of(list(range(len(texts))), texts, share)
+    words = [sentence(rng, 1) for _ in range(400)] + ["naïve", "größe", "año", "the", "of", "a"]
+    lengths = [n for lo, hi in ((24, 45), (45, 79), (80, 120), (120, 200), (200, 400)) for n in np.linspace(lo, hi, 24, dtype=int)]
+    texts = [" ".join(rng.choices(words, k=n // 2))[:n].strip().ljust(n, "q") for n in lengths]
+    items = decontam.Items.of(list(range(len(texts))), texts, 0.1)
+    assert min(items.recall.values()) >= 0.9 and len(items.classes) == 4
+    hit = []
     for k, t in enumerate(texts):
-        for _ in range(3):
-            x = list(t)
-            for _ in range(int(share * len(t))):
-                i, u = rng.randrange(len(x)), rng.randrange(3)
-                x[i : i + (u > 0)] = [] if u == 2 else [rng.choice("xyz’")]
-            assert k in found_in(items, f"{sentence(rng, 9)} {''.join(x)} {sentence(rng, 9)}"), (k, t, "".join(x))
+        x = list(t)
+        for _ in range(int(share * len(t))):
+            i, u = rng.randrange(len(x)), rng.randrange(3)
+            x[i : i + (u > 0)] = [] if u == 2 else [rng.choice("xyz ")]
+        hit.append(k in found_in(items, f"{sentence(rng, 9)} {''.join(x)} {sentence(rng, 9)}"))
+    assert np.reshape(hit, (5, 24)).mean(1).min() >= 0.9
+    assert all(k in found_in(items, f"so: ({t.upper()})") for k, t in enumerate(texts) if t.isascii())
+
+
+def test_items_in_scripts_without_spaces_and_ids_of_any_type(spark):
+    rng = random.Random(15)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    item = "".join(rng.choices(letters, k=40))
+    rows = [(1, "".join(rng.choices(letters, k=60)) + item + "".join(rng.choices(letters, k=60))), (None, f"x {item}"), (1, "clean text, one"), (1, "clean text, two"), (2, None)]
+    documents = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame([("a", item), (None, "something else that nobody holds")], "item_id string, text string")
+    assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaks(documents, benchmark).collect()), key=str) == [(1, "a", 0), (None, "a", 0)]
+    assert sorted((r["text"] or "") for r in decontam.clean(documents, benchmark).collect()) == ["", "clean text, one", "clean text, two"]
 
 
 def test_short_items_next_to_punctuation():
@@ -593,17 +608,15 @@ def test_short_items_next_to_punctuation():
     assert found_in(items, "untiny item, tiny items, tiny item; c++17") >= {0}
 
 
-def test_blocks_of_hits_lose_nothing(monkeypatch):
+def test_blocks_of_matches_lose_nothing(monkeypatch):
     rng = random.Random(13)
     texts = [sentence(rng, n) for n in (5, 15, 40)]
     items = decontam.Items.of([0, 1, 2], texts, 0.1)
-    whole = " ".join(f"{sentence(rng, 20)} {t}" for t in texts * 4)
-    raw = np.frombuffer(whole.encode(), np.uint8)
-    before = items.candidates(raw, np.array([0, len(raw)]))
+    whole = np.frombuffer(" ".join(f"{sentence(rng, 20)} {t}" for t in texts * 4).encode(), np.uint8)
+    before = items.candidates(items.tables(), whole)
     monkeypatch.setattr(decontam, "HITS", 3)
-    assert len(before) and found_in(items, whole) == {0, 1, 2}
-    assert {(a - c, b) for a, b, c in before.tolist()} >= {(whole.index(t), k) for k, t in enumerate(texts)}
-    assert items.candidates(raw, np.array([0, len(raw)])).tolist() == before.tolist()
+    assert set(before[:, 1]) == {0, 1, 2}
+    assert items.candidates(items.tables(), whole).tolist() == before.tolist()
 
 
 def test_distance_matches_the_table():
