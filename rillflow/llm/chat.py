@@ -19,7 +19,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # The control strings of the default template.
@@ -360,13 +360,13 @@ class Reader:
 
 def _ordered(conversations: DataFrame) -> DataFrame:
     """Turns of a conversation next to each other and in order; ties by role, then text."""
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Any, Iterator[dict]]]:
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, Iterator[dict]]]:
     """(conv_id, its messages), read lazily; each conversation is used up before the next."""
-    rows = ((None if pd.isna(c) else int(c), r, t) for b in batches for c, r, t in zip(b["conv_id"], b["role"], b["text"]))
+    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
     waiting = next(rows, None)
     while waiting is not None:
         conv = waiting[0]
@@ -389,7 +389,7 @@ def format_conversations(conversations: DataFrame, template: str = DEFAULT_TEMPL
     A null role or text counts as empty; rows with a null conv_id are one conversation.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         for conv, turns in _conversations(batches):
             out, spans, at = [], [], 0
@@ -398,15 +398,18 @@ def format_conversations(conversations: DataFrame, template: str = DEFAULT_TEMPL
                     spans.append([at, at + len(text)])
                 at += len(text)
                 out.append(text)
-            yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "formatted": ["".join(out)], "loss_spans": [spans]})
+            columns = [pa.array([conv], pa.int64()), pa.array(["".join(out)], pa.string()), pa.array([spans], pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "loss_spans"])
 
-    return _ordered(conversations).mapInPandas(run, "conv_id long, formatted string, loss_spans array<array<long>>")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, formatted string, loss_spans array<array<long>>")
 
 
 def conversation_digests(conversations: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
     """What Reader finds in the output of each conversation, without keeping that output."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         found: list[dict] = []
         for conv, turns in _conversations(batches):
@@ -415,14 +418,9 @@ def conversation_digests(conversations: DataFrame, template: str = DEFAULT_TEMPL
                 reader.feed(text, masked)
             found.append({"conv_id": conv} | reader.row())
             if len(found) >= 1000:
-                yield _frame(found)
+                yield pa.RecordBatch.from_pylist(found, pa.schema(types))
                 found = []
         if found:
-            yield _frame(found)
-
-    def _frame(found: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(found)
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        return out
+            yield pa.RecordBatch.from_pylist(found, pa.schema(types))
 
-    return _ordered(conversations).mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

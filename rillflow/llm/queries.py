@@ -67,6 +67,13 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(T.table(spark, sf_dir, "pages"), URL_RULES).drop("p_block")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, and the rule's verdict: what of op8 SQL can express."""
+    rows = T.table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    rule, verdict = url_filter.ruled(F.col("host"), F.col("path"), URL_RULES)
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(T.table(spark, sf_dir, "documents").select("doc_id", "text"), T.table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -78,12 +85,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, op9_benchmark_decontamination, op10_language_id)
+    f.__name__: f for f in (op1_packing, op2_html_extraction, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filters, url_rules, op9_benchmark_decontamination, op10_language_id)
 }
 
 _ESCAPED = r"""regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|OUT\])', '\1\2\\\3', 'g')"""
 
 ORACLES: dict[str, str] = {
+    "url_rules": r"""
+        WITH u AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+        rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+        SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+        FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL""",
     "op4_chat_formatting": f"""
         WITH t AS (
             SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

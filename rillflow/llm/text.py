@@ -26,8 +26,10 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and the package importable by Python workers that start elsewhere."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches unless the session has a size of its own, and the package importable by Python workers that start elsewhere."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # Spark's default
+        spark.conf.set(batch, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

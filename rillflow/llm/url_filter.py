@@ -2,12 +2,13 @@
 
 Labels are the rules' own verdicts, so the trees extend the rules to urls that
 no rule fits.  Features: lengths, path depth, digit ratio, entropy, parameter
-counts, and statistics of the host's suffixes over the labelled urls.  The
-trees are fitted on the driver from at most `max_labelled` urls (those with the
-smallest hash); scoring reads every row.
+counts, and statistics of the host's suffixes, which are counted over all labelled
+rows and joined.  The trees are fitted on the driver from the `max_labelled` distinct
+labelled urls with the smallest hashes; scoring reads every row.
 
 A null url or one without `://` has an empty host and path.  Repeated rows are
-judged once each; without labelled urls every other verdict is "allow".
+judged once each; without labelled urls every other verdict is "allow".  Urls of any length
+are read whole; equal features give equal scores, and a score equal to the cut blocks.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import text as T
-
 Rule = tuple[str, str, str]  # verdict, host, path
 MAX_LABELLED = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,40 +41,20 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return rule, verdict
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    parts = host.rsplit(".", 2)
-    return parts[-1], ".".join(parts[-2:])
-
-
-class Features:
-    """Feature matrix of urls; suffix statistics are those of the labelled urls."""
-
-    def __init__(self, hosts: list[str], blocked: np.ndarray):
-        base = float(blocked.mean()) if len(blocked) else 0.0
-        self.base, self.total = base, max(len(hosts), 1)
-        self.stats: list[dict[str, tuple[float, float]]] = []
-        for level in (0, 1):
-            seen: dict[str, list[float]] = {}
-            for h, b in zip(hosts, blocked):
-                s = seen.setdefault(suffixes(h)[level], [0.0, 0.0])
-                s[0] += 1
-                s[1] += b
-            self.stats.append({k: (np.log1p(n), (b + 5 * base) / (n + 5)) for k, (n, b) in seen.items()})
-
-    def __call__(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
-        out = np.zeros((len(urls), 14))
-        for i, (u, h, p) in enumerate(zip(urls, hosts, paths)):
-            rest = u.partition("?")[2].partition("#")[0]
-            seen = np.array(list(np.unique(np.frombuffer(u.encode("utf-8", "replace") or b" ", np.uint8), return_counts=True)[1]), float)
-            share = seen / seen.sum()
-            steps = [x for x in p.split("/") if x]
-            tld, two = suffixes(h)
-            a, b = self.stats[0].get(tld, (0.0, self.base)), self.stats[1].get(two, (0.0, self.base))
-            out[i] = (
-                len(u), len(h), len(p), len(steps), h.count("."), sum(c.isdigit() for c in u) / max(len(u), 1), -(share * np.log2(share)).sum(),
-                rest.count("=") + 0.0, u.count("&"), len(steps[0]) if steps else 0, a[0], a[1], b[0], b[1],
-            )
-        return out
+def features(urls: list[str], hosts: list[str], paths: list[str], suffixes: np.ndarray) -> np.ndarray:
+    """Feature matrix of urls; suffixes: four statistics of each url's host."""
+    out = np.zeros((len(urls), 14))
+    for i, (u, h, p) in enumerate(zip(urls, hosts, paths)):
+        rest = u.partition("?")[2].partition("#")[0]
+        seen = np.unique(np.frombuffer(u.encode("utf-8", "replace") or b" ", np.uint8), return_counts=True)[1].astype(float)
+        share = seen / seen.sum()
+        steps = [x for x in p.split("/") if x]
+        out[i, :10] = (
+            len(u), len(h), len(p), len(steps), h.count("."), sum(c.isdigit() for c in u) / max(len(u), 1), -(share * np.log2(share)).sum(),
+            rest.count("=") + 0.0, u.count("&"), len(steps[0]) if steps else 0,
+        )
+    out[:, 10:] = suffixes
+    return out
 
 
 class BoostedTrees:
@@ -148,28 +127,33 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
+def _with_suffixes(rows: DataFrame, labelled: DataFrame, base: float) -> DataFrame:
+    """rows with count (its logarithm) and smoothed blocked share of the last one and two labels of the host, over all labelled rows."""
+    for level, parts in (("tld", -1), ("two", -2)):
+        key = F.substring_index("host", ".", parts)
+        counted = labelled.groupBy(key.alias("__key")).agg(F.count("*").alias("__n"), F.sum("blocked").alias("__b"))
+        stats = counted.select("__key", F.log1p("__n").alias(f"{level}_n"), ((F.col("__b") + 5 * base) / (F.col("__n") + 5)).alias(f"{level}_b"))
+        rows = rows.join(stats, key == F.col("__key"), "left").drop("__key")
+        rows = rows.withColumns({f"{level}_n": F.coalesce(f"{level}_n", F.lit(0.0)), f"{level}_b": F.coalesce(f"{level}_b", F.lit(base))})
+    return rows
+
+
 def judge(pages: DataFrame, rules: list[Rule], max_labelled: int = MAX_LABELLED, cut: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and p_block of every row of pages (page_id, url)."""
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "blocked": (verdict == "block").cast("double")})
     labelled = rows.where("ruled is not null")
-    n = labelled.count()
-    share = min(1.0, max_labelled / max(n, 1))
-    sample = (
-        labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-        .select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("blocked"))
-        .limit(2 * max_labelled)
-        .toPandas()
-        .sort_values(["url", "blocked"])
-    )
-    features = Features(list(sample["host"]), sample["blocked"].to_numpy(float))
-    model = BoostedTrees().fit(features(list(sample["url"]), list(sample["host"]), list(sample["path"])), sample["blocked"].to_numpy(float))
+    base = labelled.agg(F.avg("blocked")).first()[0] or 0.0
+    rows = _with_suffixes(rows, labelled, base)
+    names = ["tld_n", "tld_b", "two_n", "two_b"]
+    sample = rows.where("ruled is not null").select("url", "host", "path", "blocked", *names).dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_labelled).toPandas()
+    model = BoostedTrees().fit(features(list(sample["url"]), list(sample["host"]), list(sample["path"]), sample[names].to_numpy(float)), sample["blocked"].to_numpy(float))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = model.probability(features(list(b["url"]), list(b["host"]), list(b["path"])))
+            p = model.probability(features(list(b["url"]), list(b["host"]), list(b["path"]), b[names].to_numpy(float)))
             own = np.where(p >= cut, "block", "allow")
             yield pd.DataFrame({"page_id": b["page_id"], "host": b["host"], "path": b["path"], "rule": b["rule"], "verdict": np.where(b["ruled"].isna(), own, b["ruled"]), "p_block": p})
 

@@ -278,6 +278,14 @@ def test_chat_round_trip(spark):
     assert chat.conversation_digests(df.limit(0)).count() == 0
 
 
+def test_large_ids_beside_null_ones(spark):
+    T.prepare(spark)
+    rows = [(9007199254740993, 0, "user", "a"), (9007199254740992, 0, "user", "b"), (None, 0, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1)
+    assert sorted((r["conv_id"] or 0, r["n_turns"]) for r in chat.conversation_digests(df).collect()) == [(0, 1), (9007199254740992, 1), (9007199254740993, 1)]
+    assert sorted(r["conv_id"] or 0 for r in chat.format_conversations(df).collect()) == [0, 9007199254740992, 9007199254740993]
+
+
 def test_templates():
     assert chat.fold(chat.parse("{% if 'a' == 'a' %}x{{ 'y' ~ 'z' }}{% else %}w{% endif %}!")) == ("block", [("out", ("const", "xyz!"))])
     assert "".join(x for x, _ in chat.compile_template("{% for m in messages %}{{ m.text }},{% endfor %}")([{"text": "a"}, {"text": "b"}])) == "a,b,"
@@ -497,6 +505,18 @@ def test_url_rules(spark):
     assert url_filter.judge(df.limit(0), URL_RULES).count() == 0
 
 
+def test_url_scores_do_not_depend_on_order_and_repeats(spark):
+    rng = random.Random(31)
+    urls = [f"http://h{rng.randint(0, 9)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.randint(0, 999)}" for _ in range(400)]
+    urls += [urls[0]] * 50 + ["http://long.net/es/" + "x" * 200_000, "http://long.org/" + "9" * 100_000]
+    rows = [(i, u, "a", 1.0) for i, u in enumerate(urls)]
+    schema = "page_id long, url string, tld_n string, blocked double"
+    one = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, schema), URL_RULES, max_labelled=100).collect()}
+    two = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows[::-1], schema).repartition(3), URL_RULES, max_labelled=100).collect()}
+    assert one == two and len(one) == len(rows) and len({one[i]["p_block"] for i in [0, *range(400, 450)]}) == 1
+    assert len({r["p_block"] for r in one.values()}) > 1
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))

@@ -45,6 +45,19 @@ def test_language_drops_foreign_text_and_junk(spark):
     assert len(ids) >= 0.99 * docs.where("lang is not null").count()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (None, ""), (7, "x " * 50_000), (7, "x " * 50_000), (None, "The same words in one text of no id."), (None, "The same words in one text of no id.")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True).selectExpr("*", "1 AS score", "'a' AS lang_pred", "2 AS k1", "3 AS node", "4 AS spans", "5 AS item_id", "6 AS distance")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, DATA)
+        assert kept.columns == docs.columns and kept.where("score <> 1 or lang_pred <> 'a'").count() == 0, name
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).where("doc_id is null").count() >= 4
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
