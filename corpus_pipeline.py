@@ -1,4 +1,9 @@
-"""Corpus pipeline: five stages over documents, each written as Parquet and read by the next."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read by the next.
+
+All stages take null texts as empty (language_id drops them), keep rows with null or repeated doc_id apart by
+their texts, treat repeated rows alike, return no rows for an empty table, and keep extra columns,
+whatever their names.  Ties go to the smaller doc_id, then to the smaller hash of the text.
+"""
 
 from __future__ import annotations
 
@@ -19,11 +24,12 @@ LEAST_SCORE = 0.55
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no sure language."""
     T.prepare(spark)
-    names = docs.columns
     model = langid.train(docs, ~held_out())
-    others = [c for c in names if c != "text"]
-    found = langid.identify(docs.select(*others, "text", F.col("text").alias("__whole")), model, keep=[*others, "__whole"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col("__whole").alias("text") if c == "text" else F.col(c) for c in names))
+    # the columns travel in one struct, so that none clashes with those of the operator
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("__row")
+    found = langid.identify(docs.select(rest, "text", F.col("text").alias("__whole")), model, keep=["__row", "__whole"])
+    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return sure.select(*(F.col("__whole").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark; each row is judged by its own text."""
     T.prepare(spark)
     return decontam.clean(docs, T.table(spark, sf_dir, "benchmark"))
 
