@@ -42,25 +42,30 @@ PART_BYTES = 32 << 20
 #: Lengths of windows in bytes, and the largest share of an item that its windows have.
 WINDOWS, FIT = (18, 30, 46, 64), 0.8
 #: Sets of steps drawn from each walk for each class, most walks, and items that are edited to choose their number.
-SETS, MOST_WALKS, TRIALS = 8, 16, 150
-LEAST_AGREEMENT = 0.55
+SETS, MOST_WALKS, TRIALS = 6, 16, 150
+LEAST_AGREEMENT = 0.6
+#: Windows of a document that are walked at a time, so that they stay in the processor's cache.
+AT_ONCE = 1 << 14
 #: Steps that one table look-up takes.
 STRIDE = 3
 #: 0 to 31 for each byte: letters apart, then stops, digits, other ASCII, and two for all others.
 LETTER = np.array([b - 96 if 97 <= b <= 122 else 0 if b == 32 else 27 if b in b".," else 28 if 48 <= b <= 57 else 29 if b < 128 else 30 + (b & 1) for b in range(256)], np.uint8)
 
 
+#: Bytes in lower case, white space as a space.
+PLAIN = np.where(T.BYTE_KIND == 0, 32, T.LOWER).astype(np.uint8)
+
+
 def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes in lower case with one space for each run of white space (rows begin with one), and the rows' new bounds."""
-    space = T.BYTE_KIND[data] == 0
-    keep = ~space
-    if len(data):
-        keep[1:] |= ~space[:-1]
-        keep[0] = True
-        inner = bounds[(bounds > 0) & (bounds < len(data))]
-        keep[inner] = True
-    out = np.where(space, 32, T.LOWER[data])[keep].astype(np.uint8)
-    return out, np.concatenate(([0], np.cumsum(keep)))[bounds]
+    out = PLAIN[data]
+    drop = np.zeros(len(out), bool)
+    if len(out):
+        space = out == 32
+        np.logical_and(space[1:], space[:-1], out=drop[1:])
+        drop[bounds[(bounds > 0) & (bounds < len(data))]] = False
+    gone = np.flatnonzero(drop)
+    return (out[~drop] if len(gone) else out), bounds - np.searchsorted(gone, bounds)
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
@@ -92,16 +97,14 @@ def drawn(walk: int, window: int, bits: int) -> np.ndarray:
 
 
 class Walks:
-    """Outputs of walks from starts in data, a row for each stride."""
+    """Outputs of walks over data, a row for each stride."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.letters = np.concatenate([LETTER[data], np.zeros(2 * WINDOWS[-1] + STRIDE, np.uint8)])
-        ahead = self.letters.astype(np.int64)
-        self.ahead = sum(ahead[k : len(ahead) - STRIDE + 1 + k] << (5 * (STRIDE - 1 - k)) for k in range(STRIDE))
-        self.starts = starts
+    def __init__(self, data: np.ndarray):
+        letters = np.concatenate([LETTER[data], np.zeros(2 * WINDOWS[-1] + STRIDE, np.uint8)]).astype(np.uint16)
+        self.ahead = sum(letters[k : len(letters) - STRIDE + 1 + k] << np.uint16(5 * (STRIDE - 1 - k)) for k in range(STRIDE))
 
-    def outputs(self, walk: int, window: int) -> np.ndarray:
-        table, at = walk_tables(walk), self.starts.astype(np.int64)
+    def outputs(self, starts: np.ndarray, walk: int, window: int) -> np.ndarray:
+        table, at = walk_tables(walk), starts.astype(np.int64)
         out = np.empty((2 * window // STRIDE, len(at)), np.uint32)
         for g in range(len(out)):
             code = self.ahead.take(at)
@@ -146,10 +149,10 @@ class Class:
 
     def table(self, walk: int) -> tuple:
         """Per set (which leading bits of keys occur, sorted keys, their windows, shift to the leading bits); outputs at all drawn strides, these, and the sets."""
-        out = Walks(self.data, self.starts).outputs(walk, self.window)
+        out = Walks(self.data).outputs(self.starts, walk, self.window)
         sets = drawn(walk, self.window, self.bits)
         used = np.unique(sets)
-        size = int(np.clip(np.ceil(np.log2(16 * len(self.starts))), 12, 24))
+        size = int(np.clip(np.ceil(np.log2(64 * len(self.starts))), 12, 24))
         made = []
         for steps in sets:
             key = keys_of(out, steps)
@@ -166,9 +169,12 @@ class Class:
         for (slots, keys, order, shift), steps in zip(made, sets):
             key = keys_of(out, steps)
             live = np.flatnonzero(slots.take(key >> np.uint32(shift)))
-            lo, hi = np.searchsorted(keys, key[live], "left"), np.searchsorted(keys, key[live], "right")
-            hit = hi > lo
-            live, lo, n = live[hit], lo[hit], (hi - lo)[hit]
+            lo = np.searchsorted(keys, key[live], "left")
+            hit = keys.take(lo, mode="clip") == key[live]
+            if not hit.any():
+                continue
+            live, lo = live[hit], lo[hit]
+            n = np.searchsorted(keys, key[live], "right") - lo
             total = np.concatenate(([0], np.cumsum(n)))
             for i, j in T.slices(total, HITS):
                 at = np.repeat(lo[i:j] - (total[i:j] - total[i]), n[i:j]) + np.arange(total[j] - total[i])
@@ -234,7 +240,7 @@ class Items:
         data = np.frombuffer(gap.join(copies) + gap, np.uint8)
         bounds = np.concatenate(([0], np.cumsum([len(x) + len(gap) for x in copies])))
         starts = word_starts(data)
-        ours, theirs = c.matches(table, Walks(data, starts).outputs(walk, c.window))
+        ours, theirs = c.matches(table, Walks(data).outputs(starts, walk, c.window))
         row = np.searchsorted(bounds, starts[ours], "right") - 1
         item, offset = c.owner[theirs].T
         near = np.abs(starts[ours] - bounds[row] - offset) <= 4 * share * np.array([len(x) for x in copies])[row] + 1
@@ -249,12 +255,15 @@ class Items:
         starts, found = word_starts(data), [np.zeros((0, 3), np.int64)]
         if not self.classes or not len(starts):
             return found[0]
-        walks = Walks(data, starts)
-        for walk, made in enumerate(tables):
-            out = walks.outputs(walk, self.classes[-1].window)
-            for c, table in zip(self.classes, made):
-                ours, theirs = c.matches(table, out)
-                found.append(np.column_stack([starts[ours], c.owner[theirs]]))
+        walks = Walks(data)
+        for i in range(0, len(starts), AT_ONCE):
+            block = starts[i : i + AT_ONCE]
+            for walk, made in enumerate(tables):
+                out = walks.outputs(block, walk, self.classes[-1].window)
+                for c, table in zip(self.classes, made):
+                    ours, theirs = c.matches(table, out)
+                    if len(ours):
+                        found.append(np.column_stack([block[ours], c.owner[theirs]]))
         return np.unique(np.concatenate(found), axis=0)
 
     def held(self, text: bytes, hits: np.ndarray) -> list[tuple[int, int, int]]:
