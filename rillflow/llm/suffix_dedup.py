@@ -17,10 +17,15 @@ such a half hold are its core.  Equal windows have equal cores, so:
    from the irreducible entries, and windows that share `length` bytes are
    neighbours in it; all but the first of them are repeats.  A core with very
    many segments is cut into groups of PIECE windows, dealt by the longer core
-   of such a group.
+   of such a group;
+4. where even that core has very many groups (a line that many documents go on from
+   differently), their windows are told apart one by one.
 
-Induced sorting and LCPs are vectorised: buckets are processed in order, and the
-suffixes that a bucket induces are put into their buckets all at once.
+All levels of the recursion sort by induction.  At the first, with few letters, the suffixes
+that a bucket induces are put into their buckets all at once; at the others, one by one.
+
+Equal segments are told by two hashes of 64 bits, of the core and of the whole, windows in
+a shard by their bytes.
 
 A null text counts as empty; texts under `length` bytes keep all.  Rows that
 repeat a doc_id with the same text are one document, listed once for each row;
@@ -35,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as T
 
@@ -42,6 +48,8 @@ LENGTH, GRAM = 100, 20
 SHARD_BYTES = 1 << 20
 #: Distinct segments of one core beyond which they are cut into pieces.
 MANY, PIECE = 2000, 8
+#: Parts of the rows of one hot window.
+SALTS = 16
 BLOCK_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -52,17 +60,19 @@ _PLACE = np.uint64((1 << 24) - 1)
 def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     """Suffix array of text (integers in [1, letters)), which ends with a 0 found nowhere else, by induced sorting."""
     n = len(text)
-    if n < 64 or letters > max(512, n // 256):
-        return _by_doubling(text)
+    if n == 1:
+        return np.zeros(1, np.int64)
     step = np.sign(text[1:].astype(np.int64) - text[:-1])
     turn = np.where(step != 0, np.arange(n - 1), n - 1)
     turn = np.minimum.accumulate(turn[::-1])[::-1]
     small = np.ones(n, bool)  # S-type
     small[:-1] = np.append(step, 1)[turn] > 0
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    # with few letters all that a bucket induces goes at once; with many, buckets are small and suffixes go one by one
+    induced = _induced if letters <= max(512, n // 64) else _induced_singly
     if len(lms) <= 1:
-        return _induced(text, letters, small, lms)
-    order = _induced(text, letters, small, lms)
+        return induced(text, letters, small, lms)
+    order = induced(text, letters, small, lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
@@ -77,23 +87,31 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     if names.max() + 1 < len(lms):
         # the last name is that of the end, the smallest and the only one of its kind
         order = lms[suffix_array(names, int(names.max()) + 1)]
-    return _induced(text, letters, small, order)
-
-
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, k = len(rank), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - k, 0)] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], key[order][1:] != key[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank.max() == n - 1 or k >= n:
-            return order
-        k *= 2
+    return induced(text, letters, small, order)
+
+
+def _induced_singly(text: np.ndarray, letters: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _induced, suffix by suffix, with a place for each bucket's next one."""
+    ends = np.cumsum(np.bincount(text, minlength=letters))
+    head, tail = (ends - np.bincount(text, minlength=letters)).tolist(), ends.tolist()
+    letter, is_small, out = text.tolist(), small.tolist(), [-1] * len(text)
+    for i in lms[::-1].tolist():
+        tail[letter[i]] -= 1
+        out[tail[letter[i]]] = i
+    for i in out:  # places to the right are filled while this goes on
+        if i > 0 and not is_small[i - 1]:
+            c = letter[i - 1]
+            out[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(len(out) - 1, -1, -1):
+        i = out[at]
+        if i > 0 and is_small[i - 1]:
+            c = letter[i - 1]
+            tail[c] -= 1
+            out[tail[c]] = i - 1
+    out[0] = len(out) - 1
+    return np.array(out, np.int64)
 
 
 def _induced(text: np.ndarray, letters: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -260,7 +278,7 @@ def _shard_spans(segments: DataFrame, length: int) -> DataFrame:
             [pa.array([docs[i][0] for i in which], doc_type), pa.array([docs[i][1] for i in which], pa.int64()), pa.array(begin + first, pa.int64()), pa.array(begin + after - 1 + length, pa.int64())], ["doc_id", "k", "a", "b"]
         )
 
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    doc_type = to_arrow_type(segments.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, docs, starts, pieces = None, [], [], []
@@ -279,9 +297,18 @@ def _shard_spans(segments: DataFrame, length: int) -> DataFrame:
     return segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"doc_id {kind}, k long, a long, b long")
 
 
+def _window_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """doc_id, k, a, b: windows of pieces (doc_id, k, s, bytes) that also start at an earlier place in one of them."""
+    starts = F.sequence(F.lit(0), F.octet_length("bytes") - length)
+    at = pieces.select("doc_id", "k", "s", "bytes", F.explode(starts).alias("i")).select("doc_id", "k", (F.col("s") + F.col("i")).alias("s"), F.expr(f"substring(bytes, i + 1, {length})").alias("w"))
+    first = at.groupBy("w").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("w2"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+    salted = at.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k", "s"), F.lit(SALTS)).cast("int"))
+    later = salted.join(first, (F.col("w") == F.col("w2")) & (F.col("salt") == F.col("salt2"))).where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first")))
+    return later.select("doc_id", "k", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, k and spans (array of [a, b) bytes, possibly overlapping) of the rows (doc_id, k, text) that repeat something."""
-    rows = rows if _unique(rows) else rows.dropDuplicates(["doc_id", "k"])
+    """doc_id, k and spans (array of [a, b) bytes, possibly overlapping) of the rows (doc_id, k, text; one for each doc_id and k) that repeat something."""
     again = T.settled(_segment_table(rows, length).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
     occurrences = T.settled(_segment_table(rows, length).join(again, "f", "left_semi"))
     groups = T.settled(occurrences.groupBy("f", "h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first"), F.count("*").alias("n"), F.first("c").alias("c")))
@@ -324,11 +351,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("k").take(take), pa.array(s), pa.array(columns[2], pa.binary())], ["f", "doc_id", "k", "s", "bytes"])
 
     cut = T.settled(cut)
-    parted = cut.where("many").select("f", "doc_id", "k", "s", "bytes").mapInArrow(pieces, f"f long, doc_id {dict(rows.dtypes)['doc_id']}, k long, s long, bytes binary")
-    dealt = cut.where("not many").select("f", "doc_id", "k", "s", "bytes").unionByName(parted).withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
-    spans = whole.unionByName(_shard_spans(dealt, length))
+    parted = T.checkpointed(cut.where("many").select("f", "doc_id", "k", "s", "bytes").mapInArrow(pieces, f"f long, doc_id {dict(rows.dtypes)['doc_id']}, k long, s long, bytes binary"))
+    hot = parted.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("f")
+    dealt = cut.where("not many").select("f", "doc_id", "k", "s", "bytes").unionByName(parted.join(hot, "f", "left_anti")).withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
+    spans = whole.unionByName(_shard_spans(dealt, length)).unionByName(_window_spans(parted.join(hot, "f", "left_semi"), length))
     found = T.settled(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    del again, occurrences, groups, copies, whole, kinds, wanted, cut, parted, dealt, spans
+    del again, occurrences, groups, copies, whole, kinds, wanted, cut, parted, hot, dealt, spans
     T.drop_shuffles(found.sparkSession)
     return found
 
@@ -338,11 +366,13 @@ def _unique(rows: DataFrame) -> bool:
     return (n or 0) <= 1
 
 
-def ordered(documents: DataFrame) -> DataFrame:
-    """doc_id, k, text: k tells rows of one doc_id apart."""
+def ordered(documents: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows (doc_id, k, text), one for each doc_id and k, and the k of documents' rows, which tells texts of one doc_id apart."""
     text = F.coalesce("text", F.lit(""))
-    k: Column = F.lit(0).cast("long") if _unique(documents) else F.xxhash64(text)
-    return documents.select("doc_id", k.alias("k"), text.alias("text"))
+    unique = _unique(documents)
+    k: Column = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    rows = documents.select("doc_id", k.alias("k"), text.alias("text"))
+    return (rows if unique else rows.dropDuplicates(["doc_id", "k"])), k
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -365,9 +395,9 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(documents: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    rows = ordered(documents.select("doc_id", "text"))
+    rows, k = ordered(documents.select("doc_id", "text"))
     spans = repeated_spans(rows, length)
-    whole = documents.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), (F.lit(0).cast("long") if _unique(documents) else F.xxhash64(F.coalesce("text", F.lit("")))).alias("__k"))
+    whole = documents.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), k.alias("__k"))
     return whole.join(spans.select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k2"), F.col("spans").alias("__spans")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__k2")), "left").drop("__doc", "__k", "__k2")
 
 
