@@ -413,6 +413,58 @@ def test_chains_of_near_copies_come_together(spark):
     assert got == brute_classes(rows)
 
 
+def plain_probability_jaccard(x, y):
+    """By the double sum over all shingles."""
+    keys = set(x) | set(y)
+    return sum(1 / sum(max(x.get(d, 0) / x[c], y.get(d, 0) / y[c]) for d in keys) for c in set(x) & set(y))
+
+
+def test_weighted_index_and_registers():
+    rng = random.Random(41)
+    errors = []
+    for k in range(40):
+        lines = [sentence(rng, 12) for _ in range(8)]
+        a = " ".join(rng.choices(lines, k=25))
+        b = " ".join(a.split()[: rng.randint(100, 290)] + rng.choices(lines, k=2)[0].split())
+        x, y = probminhash.shingles_of(a), probminhash.shingles_of(b)
+        want = plain_probability_jaccard(dict(zip(x[0].tolist(), x[1].tolist())), dict(zip(y[0].tolist(), y[1].tolist())))
+        assert probminhash.jaccard(a, b, True) == pytest.approx(want)
+        raw = (a + b).encode()
+        sig, _ = probminhash.signatures(np.frombuffer(raw, np.uint8), np.array([0, len(a), len(raw)]), True)
+        errors.append((sig[0] == sig[1]).mean() - want)
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+
+
+def test_weighted_classes(spark):
+    rng = random.Random(42)
+    line, other = sentence(rng, 6), [sentence(rng, 40) for _ in range(3)]
+    rows = [(1, f"{other[0]} {line} " + f"{line} " * 60), (2, f"{other[1]} {line} " + f"{line} " * 60), (3, other[0]), (4, other[2]), (5, other[2] + " one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()}
+    heavy = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df, weighted=True).collect()}
+    assert plain == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4} and heavy == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_hot_centres_and_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(probminhash, "TOGETHER", 3)
+    monkeypatch.setattr(probminhash, "BLOCK", 4)
+    rng = random.Random(43)
+    base = sentence(rng, 60).split()
+    rows = [(i, " ".join(base[: 60 - i % 5] + [sentence(rng, 1)])) for i in range(40)] + [(100 + i, sentence(rng, 60)) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: probminhash.shingles_of(t) for d, t in rows}
+    up = {d: d for d, _ in rows}
+
+    def root(d):
+        return d if up[d] == d else root(up[d])
+
+    for d, _ in rows:
+        for e, _ in rows:
+            if d < e and probminhash.index_of(sets[d], sets[e]) >= 0.8:
+                up[max(root(d), root(e))] = min(root(d), root(e))
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(df).collect()} == {d: root(d) for d, _ in rows}
+
+
 def test_register_shares_estimate_the_index():
     rng = random.Random(5)
     words = sentence(rng, 400).split()
