@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.grid import GridMeta, STEPS, cell_of
+from ..functions.grid import GridMeta, cell_of, neighbours
+from .zonal import small
 
 
 def _grid(df: DataFrame, name: str) -> DataFrame:
@@ -69,12 +70,12 @@ def edit_raster(grid: DataFrame, edits: DataFrame, meta: GridMeta, compat: bool
 
 def set_region(direction: DataFrame, gage: DataFrame, region: int) -> DataFrame:
     """region where gage has a watershed, where direction is valid, or where a neighbour drains to; else NULL."""
-    edges = F.array(*(F.struct(F.lit(k + 1).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(STEPS)))
-    inflow = (
-        direction.withColumn("s", F.explode(edges)).where(F.col("value") == F.col("s.k")).select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")).distinct().withColumn("fed", F.lit(True))
-    )
-    df = _both(p=direction, g=gage).join(inflow, ["row", "col"], "left")
-    return _value(df, F.when((F.coalesce(F.col("g"), F.lit(0)) > 0) | F.col("p").isNotNull() | F.col("fed"), F.lit(region)))
+    n = neighbours(_grid(direction, "p"), "p")
+    fed = F.lit(False)
+    for k in range(1, 9):
+        fed = fed | F.coalesce(F.col(f"n{k}") == (k + 3) % 8 + 1, F.lit(False))
+    df = n.select("row", "col", (F.col("p").isNotNull() | fed).alias("on")).join(_grid(gage, "g"), ["row", "col"])
+    return _value(df, F.when((F.coalesce(F.col("g"), F.lit(0)) > 0) | F.col("on"), F.lit(region)))
 
 
 def split_proportion(angle: Column, k: int, dx: Column | float = 1.0, dy: Column | float = 1.0) -> Column:
@@ -102,84 +103,85 @@ def stability_index(slope: DataFrame, area: DataFrame, region: DataFrame, region
     df = _both(s=slope, a=area, region=region)
     for name, extra in (("lo", scamin), ("hi", scamax)):
         df = df.join(_grid(extra, name), ["row", "col"], "left") if extra is not None else df.withColumn(name, F.lit(0.0))
-    df = df.join(F.broadcast(regions), df["region"] == regions["id"], "left")
+    df = df.join(small(regions), df["region"] == regions["id"], "left")
     names = ["s", "a", "lo", "hi", "tmin", "tmax", "cmin", "cmax", "phimin", "phimax", "density"]
 
     def run(batches):
         for b in batches:
-            values = b[names].to_numpy(float, na_value=np.nan)
-            out = [(np.nan, np.nan) if np.isnan(v).any() else sinmap_cell(*v, rmin, rmax, g, rhow) for v in values]
-            yield pd.DataFrame({"row": b["row"], "col": b["col"], "si": [x for x, _ in out], "sat": [y for _, y in out]})
+            columns = b[names].to_numpy(float, na_value=np.nan).T
+            si, sat = np.full(len(b), np.nan), np.full(len(b), np.nan)
+            for i in range(0, len(b), AT_ONCE):
+                part = columns[:, i : i + AT_ONCE]
+                at = np.flatnonzero(~np.isnan(part).any(0)) + i
+                si[at], sat[at] = sinmap_cells(columns[:, at], rmin, rmax, g, rhow)
+            yield pd.DataFrame({"row": b["row"], "col": b["col"], "si": si, "sat": sat})
 
     found = df.select("row", "col", *(F.col(c).cast("double").alias(c) for c in names)).mapInPandas(run, "row int, col int, si double, sat double")
     return found.select("row", "col", F.nanvl("si", F.lit(None)).alias("si"), F.nanvl("sat", F.lit(None)).alias("sat"))
 
 
-def sinmap_cell(slope: float, area: float, lo: float, hi: float, tmin: float, tmax: float, cmin: float, cmax: float, phimin: float, phimax: float, density: float, rmin: float, rmax: float, g: float, rhow: float) -> tuple[float, float]:
-    """Stability index and saturation class of one cell.
+#: Cells that are integrated at a time.
+AT_ONCE = 2000
+
+
+def sinmap_cells(columns: np.ndarray, rmin: float, rmax: float, g: float, rhow: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stability index and saturation class of cells, by rows slope, area, lo, hi, tmin, tmax, cmin, cmax, phimin, phimax, density.
 
     With FS = (C + cos(theta) (1 - w r) T) / sin(theta), C, T = tan(phi) and w
     uniform and w cut at 1: FS of the worst case if that is over 1, else the
     probability of FS > 1.
     """
-    from math import atan, cos, radians, sin, tan
-
-    if slope == 0:
-        return 10.0, 3.0
-    if slope < 0 or area < 0:
-        return float("nan"), float("nan")
-    theta, r = atan(slope), rhow / density
-    x1, x2 = (area * rmin + lo) / tmax, (area * rmax + hi) / tmin
-    w1, w2 = x1 / sin(theta), x2 / sin(theta)
-    sat = 3.0 if w1 > 1 else 2.0 if w2 > 1 else w2
-    t1, t2 = tan(radians(phimin)), tan(radians(phimax))
-
-    def fs(w: float, c: float, t: float) -> float:
-        return (c + cos(theta) * (1 - min(w, 1.0) * r) * t) / sin(theta)
-
-    if fs(w1, cmax, t2) < 1:
-        return 0.0, sat
-    if (worst := fs(w2, cmin, t1)) >= 1:
-        return min(worst, 10.0), sat
-    return 1.0 - _probability_below(sin(theta), cos(theta), r, w1, w2, cmin, cmax, t1, t2), sat
-
-
-def _probability_below(need: float, cosine: float, r: float, w1: float, w2: float, c1: float, c2: float, t1: float, t2: float) -> float:
+    slope, area, lo, hi, tmin, tmax, c1, c2, phimin, phimax, density = columns
+    si, sat = np.full(len(slope), np.nan), np.full(len(slope), np.nan)
+    si[slope == 0], sat[slope == 0] = 10.0, 3.0
+    on = np.flatnonzero((slope > 0) & (area >= 0))
+    slope, area, lo, hi, tmin, tmax, c1, c2, phimin, phimax, density = columns[:, on]
+    theta, r = np.arctan(slope), rhow / density
+    need, cosine = np.sin(theta), np.cos(theta)
+    w1, w2 = (area * rmin + lo) / tmax / need, (area * rmax + hi) / tmin / need
+    t1, t2 = np.tan(np.radians(phimin)), np.tan(np.radians(phimax))
+
+    def fs(w: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return (c + cosine * (1 - np.minimum(w, 1.0) * r) * t) / need
+
+    worst = fs(w2, c1, t1)
+    found = np.where(fs(w1, c2, t2) < 1, 0.0, np.minimum(worst, 10.0))
+    mixed = np.flatnonzero((fs(w1, c2, t2) >= 1) & (worst < 1))
+    found[mixed] = 1.0 - _probability_below(*(v[mixed] for v in (need, cosine, r, w1, w2, c1, c2, t1, t2)))
+    si[on], sat[on] = found, np.where(w1 > 1, 3.0, np.where(w2 > 1, 2.0, w2))
+    return si, sat
+
+
+def _probability_below(need: np.ndarray, cosine: np.ndarray, r: np.ndarray, w1: np.ndarray, w2: np.ndarray, c1: np.ndarray, c2: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
     """P(C + cosine (1 - min(w, 1) r) T < need) for independent uniform C, T and w.
 
     Given w the sum of two uniforms is piecewise quadratic; over w it is integrated
     by Gauss-Legendre between the points where the pieces change.
     """
+
     def given(k: np.ndarray) -> np.ndarray:
-        """P(C + k T < need)."""
-        a, b = np.minimum(k * t1, k * t2), np.maximum(k * t1, k * t2)
-        width, reach = c2 - c1, b - a
-        if width < 1e-12:
-            return np.clip(np.where(reach > 1e-12, (need - c1 - a) / np.maximum(reach, 1e-300), (need - c1 > a) * 1.0), 0, 1)
+        """P(C + k T < need), k with the cells as first axis."""
+        wide = (-1,) + (1,) * (k.ndim - 1)
+        n, lo, hi, low, high = (v.reshape(wide) for v in (need, c1, c2, t1, t2))
+        a, b = np.minimum(k * low, k * high), np.maximum(k * low, k * high)
+        width, reach = hi - lo, b - a
+        narrow = np.clip(np.where(reach > 1e-12, (n - lo - a) / np.maximum(reach, 1e-300), (n - lo > a) * 1.0), 0, 1)
 
         def area(x: np.ndarray) -> np.ndarray:
-            return 0.5 * np.clip(x, 0, width) ** 2 / width + np.maximum(x - width, 0)
-
-        thin = np.clip((need - a - c1) / width, 0, 1)
-        return np.where(reach < 1e-12, thin, np.clip((area(need - c1 - a) - area(need - c1 - b)) / np.maximum(reach, 1e-300), 0, 1))
-
-    k_full = cosine * (1 - r)
-    whole = float(given(np.array([k_full]))[0])
-    if w1 >= 1:
-        return whole
-    top = min(w2, 1.0)
-    if w2 - w1 < 1e-12:
-        return float(given(np.array([cosine * (1 - w1 * r)]))[0])
-    marks = {w1, top}
-    for c in (c1, c2):
-        for t in (t1, t2):
-            if cosine * t * r:
-                w = (1 - (need - c) / (cosine * t)) / r if t else w1
-                if w1 < w < top:
-                    marks.add(w)
+            return 0.5 * np.clip(x, 0, width) ** 2 / np.maximum(width, 1e-300) + np.maximum(x - width, 0)
+
+        thin = np.clip((n - a - lo) / np.maximum(width, 1e-300), 0, 1)
+        both = np.clip((area(n - lo - a) - area(n - lo - b)) / np.maximum(reach, 1e-300), 0, 1)
+        return np.where(width < 1e-12, narrow, np.where(reach < 1e-12, thin, both))
+
+    whole = given(cosine * (1 - r))
+    top = np.minimum(w2, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        marks = [(1 - (need - c) / (cosine * t)) / r for c in (c1, c2) for t in (t1, t2)]
+    edges = np.sort(np.stack([w1, np.maximum(top, w1), *(np.clip(np.where(np.isfinite(m), m, w1), w1, np.maximum(top, w1)) for m in marks)], 1), 1)
     x, weight = np.polynomial.legendre.leggauss(24)
-    edges, total = sorted(marks), 0.0
-    for a, b in zip(edges, edges[1:]):
-        w = (b - a) / 2 * x + (a + b) / 2
-        total += float((given(cosine * (1 - w * r)) * weight).sum() * (b - a) / 2)
-    return (total + max(w2 - 1.0, 0.0) * whole) / (w2 - w1)
+    half, centre = np.diff(edges, axis=1) / 2, (edges[:, 1:] + edges[:, :-1]) / 2
+    w = half[:, :, None] * x + centre[:, :, None]
+    total = (given(cosine[:, None, None] * (1 - w * r[:, None, None])) * weight).sum(2) * half
+    spread = (total.sum(1) + np.maximum(w2 - 1.0, 0.0) * whole) / np.maximum(w2 - w1, 1e-300)
+    return np.where(w1 >= 1, whole, np.where(w2 - w1 < 1e-12, given(cosine * (1 - w1 * r)), spread))

@@ -14,12 +14,34 @@ from ..plans.tiles import TILE, Patch, checkpointed
 from .flow import Flow, Near, _cells, area_d8, strahler
 
 
-def gage_watershed(p: DataFrame, gages: DataFrame, meta: GridMeta) -> DataFrame:
+def numbered(df: DataFrame, columns: list, name: str) -> DataFrame:
+    """df with name, from 0 in the order of columns: ranges are numbered apart and put one after the other."""
+    parts = checkpointed(df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
+    before, offsets = 0, {}
+    for k in sorted(sizes):
+        offsets[k], before = before, before + sizes[k]
+    starts = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair)) if offsets else F.create_map(F.lit(0), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*columns))
+    return parts.withColumn(name, (F.element_at(starts, F.col("__part")) + rank - 1).cast("long")).drop("__part")
+
+
+def gage_watershed(p: DataFrame, gages: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
     """Cells labelled with the id of the first of gages (id, row, col) downstream; NULL without one."""
-    ids = gages.groupBy(F.col("row").alias("r"), F.col("col").alias("c")).agg(F.max("id").alias("id"))
-    paths = follow(p, meta, gages).where("stopped")
-    found = paths.join(ids, ["r", "c"]).select("row", "col", F.col("id").alias("value"))
-    return p.select("row", "col").join(found, ["row", "col"], "left")
+    ids = gages.groupBy("row", "col").agg(F.max("id").cast("double").alias("gage"))
+    cells = p.select("row", "col", F.col("value").cast("double").alias("p")).join(ids, ["row", "col"], "left")
+
+    def seeds(q: Patch, s: dict) -> np.ndarray:
+        on = q.inside & ~np.isnan(q["gage"]) & ~np.isnan(q["p"])
+        s["v"][on] = q["gage"][on]
+        return on
+
+    def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
+        for j, w in near:
+            s["v"][at] = np.where(w > 0, s["v"][j], s["v"][at])
+
+    found = Flow(cells, meta, "p", upstream=False, size=size).run(["v"], step, seeds=seeds)
+    return found.select("row", "col", F.nanvl("v", F.lit(None)).cast(gages.schema["id"].dataType).alias("value"))
 
 
 def gage_links(p: DataFrame, gages: DataFrame, meta: GridMeta) -> DataFrame:
@@ -78,39 +100,36 @@ def drop_statistics(p: DataFrame, dem: DataFrame, ssa: DataFrame, area: DataFram
     A stream cell has ssa of at least the threshold.  At a junction, streams of lower
     order than the cell's end; their drop is from where they began to the cell.
     """
-    cells = _cells(p=p, z=dem, ssa=ssa)
-    flow = Flow(cells, meta, "p", outlets=outlets, size=size)
-    rows = None
-    for limit in thresholds:
-
-        def links(q: Patch, sources: list[np.ndarray], limit: float = limit) -> list[np.ndarray]:
-            on = q["ssa"] >= limit
-            return [np.where(on & q.shifted(on, k, False), w, 0.0) for k, w in enumerate(sources, 1)]
+    flow = Flow(_cells(p=p, z=dem, ssa=ssa), meta, "p", outlets=outlets, size=size)
+    # all thresholds are evaluated at once, on the cells that are streams at the least of them
+    least, parts = min(thresholds), ("ord", "head", "len", "n1", "d1", "q1", "n2", "d2", "q2")
+    flow.cells = flow.cells.where(F.col("ssa") >= least)
 
-        def step(q: Patch, s: dict, at: np.ndarray, near: Near, limit: float = limit) -> None:
+    def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
+        for i, limit in enumerate(thresholds):
             on = q["ssa"][at] >= limit
-            order = strahler([(s["ord"][j], w) for j, w in near])
+            order = strahler([(s[f"ord{i}"][j], w) for j, w in near])
             head, length = q["z"][at].copy(), np.zeros(len(at))
             passed = np.zeros(len(at), bool)
-            sums = {n: np.zeros(len(at)) for n in ("n1", "d1", "q1", "n2", "d2", "q2")}
+            sums = {n: np.zeros(len(at)) for n in parts[3:]}
             for k, (j, w) in enumerate(near, 1):
-                came = (w > 0) & ~np.isnan(s["ord"][j])
+                came = (w > 0) & ~np.isnan(s[f"ord{i}"][j])
                 length += np.where(came, q.length(k)[at], 0.0)
-                ends = came & (s["ord"][j] < order)
-                drop = np.where(ends, s["head"][j] - q["z"][at], 0.0)
-                for c, mine in ((1, ends & (s["ord"][j] == 1)), (2, ends & (s["ord"][j] > 1))):
+                ends = came & (s[f"ord{i}"][j] < order)
+                drop = np.where(ends, s[f"head{i}"][j] - q["z"][at], 0.0)
+                for c, mine in ((1, ends & (s[f"ord{i}"][j] == 1)), (2, ends & (s[f"ord{i}"][j] > 1))):
                     sums[f"n{c}"] += mine
                     sums[f"d{c}"] += np.where(mine, drop, 0.0)
                     sums[f"q{c}"] += np.where(mine, drop**2, 0.0)
-                goes_on = came & (s["ord"][j] == order) & ~passed
-                head = np.where(goes_on, s["head"][j], head)
+                goes_on = came & (s[f"ord{i}"][j] == order) & ~passed
+                head = np.where(goes_on, s[f"head{i}"][j], head)
                 passed |= goes_on
             for n, v in ({"ord": order, "head": head, "len": length} | sums).items():
-                s[n][at] = np.where(on, v, np.nan)
+                s[f"{n}{i}"][at] = np.where(on, v, np.nan)
 
-        found = flow.run(["ord", "head", "len", "n1", "d1", "q1", "n2", "d2", "q2"], step, links)
-        one = found.agg(*(F.sum(F.nanvl(n, F.lit(None))).alias(n) for n in ("len", "n1", "d1", "q1", "n2", "d2", "q2"))).withColumn("threshold", F.lit(float(limit)))
-        rows = one if rows is None else rows.unionByName(one)
+    found = flow.run([f"{n}{i}" for i in range(len(thresholds)) for n in parts], step)
+    sums = found.agg(*(F.sum(F.nanvl(f"{n}{i}", F.lit(None))).alias(f"{n}{i}") for i in range(len(thresholds)) for n in parts[2:]))
+    rows = sums.select(F.explode(F.array(*(F.struct(F.lit(float(limit)).alias("threshold"), *(F.col(f"{n}{i}").alias(n) for n in parts[2:])) for i, limit in enumerate(thresholds)))).alias("row")).select("row.*")
     # the outlets that drain to no stream give the area
     ends = outlets.select("row", "col").distinct().join(receivers(p, meta).select("row", "col", "r", "c"), ["row", "col"], "left")
     lower = _cells(ssa=ssa).where(F.col("ssa").isNotNull() & (F.col("ssa") >= min(thresholds))).select(F.col("row").alias("r"), F.col("col").alias("c"), F.lit(True).alias("below"))
@@ -152,8 +171,7 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
     tails = cells.join(junction, ["r", "c"], "left").where("joins or r is null").select("row", "col")
     ends = follow(on, meta, tails)
     # a cell that starts a link goes on with what is below it, so links are told apart by their last cell
-    number = F.row_number().over(Window.orderBy("row", "col")) - 1
-    first = starts.join(ends.select("row", "col", "r", "c"), ["row", "col"]).withColumn("link", number)
+    first = numbered(starts.join(ends.select("row", "col", "r", "c"), ["row", "col"]), [F.col("row"), F.col("col")], "link")
     link_of = first.select("link", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("row").alias("hr"), F.col("col").alias("hc"))
     member = checkpointed(ends.select("row", "col", F.col("r").alias("tr"), F.col("c").alias("tc"), "dist", "hops").join(link_of, ["tr", "tc"]))
     values = _cells(z=dem, a=area)
@@ -208,10 +226,10 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
 
     ups = checkpointed(joined.groupBy("down").applyInPandas(tree, "here long, us1 long, us2 long, o int, m long, jr int, jc int"))
     extra = ups.where("here < 0")
-    renamed = extra.select(F.col("here").alias("old"), (F.row_number().over(Window.orderBy(F.desc("here"))) + n_links - 1).cast("long").alias("new"))
+    renamed = numbered(extra.select(F.col("here").alias("old")), [F.desc("old")], "new").withColumn("new", F.col("new") + n_links)
 
     def real(df: DataFrame, c: str) -> DataFrame:
-        return df.join(F.broadcast(renamed.withColumnRenamed("old", c)), c, "left").withColumn(c, F.coalesce("new", F.col(c))).drop("new")
+        return df.join(renamed.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", F.col(c))).drop("new")
 
     ups = real(real(real(ups, "here"), "us1"), "us2")
     downs = ups.select(F.explode(F.array("us1", "us2")).alias("link"), F.col("here").alias("dslink")).where("link >= 0")
@@ -269,4 +287,5 @@ def catch_outlets(links: DataFrame, p: DataFrame, meta: GridMeta, min_distance:
     found = tree.join(at, "link").groupBy("to").applyInPandas(walk, "root long, seq long, link long, row int, col int, dist double, terminal boolean")
     moved = found.join(receivers(p, meta).select("row", "col", "r", "c"), ["row", "col"], "left")
     placed = moved.select("root", "seq", "link", F.when(F.col("terminal"), F.coalesce("r", "row")).otherwise(F.col("row")).alias("row"), F.when(F.col("terminal"), F.coalesce("c", "col")).otherwise(F.col("col")).alias("col"), "dist")
-    return placed.withColumn("id", F.row_number().over(Window.orderBy("root", "seq")) + first_id - 1).drop("root", "seq")
+    ids = numbered(placed, [F.col("root"), F.col("seq")], "id")
+    return ids.withColumn("id", (F.col("id") + first_id).cast("int")).drop("root", "seq")

@@ -1,11 +1,13 @@
-"""Pointer doubling over D8 paths: where each cell's path goes, in rounds that double its length."""
+"""D8 paths: the cell that each cell drains to, and where each cell's path goes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.grid import STEPS, GridMeta
-from .tiles import checkpointed
+from ..operators.flow import Flow, Near
+from .tiles import TILE, Patch
 
 
 def receivers(p: DataFrame, meta: GridMeta) -> DataFrame:
@@ -19,30 +21,37 @@ def receivers(p: DataFrame, meta: GridMeta) -> DataFrame:
     return to.join(valid, ["r", "c"], "left").select("row", "col", "r", "c", "d", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
-def follow(p: DataFrame, meta: GridMeta, stop: DataFrame, most: int | None = None, rounds: int = 40) -> DataFrame:
+def follow(p: DataFrame, meta: GridMeta, stop: DataFrame, most: int | None = None, size: int = TILE) -> DataFrame:
     """row, col, r, c, dist, hops and stopped of each cell with a direction: the first cell of stop (row, col) on its path.
 
     A cell of stop stops at once; a path without one ends at its last cell with a
-    direction (stopped false).  most bounds the hops.
+    direction (stopped false).  most bounds the hops.  One evaluation from the paths' ends upward.
     """
-    cells = p.where("value is not null").select("row", "col")
-    ends = stop.select("row", "col").distinct().withColumn("stopped", F.lit(True))
-    to = receivers(p, meta).where("ok").select("row", "col", "r", "c", "d")
-    at = cells.join(ends, ["row", "col"], "left").join(to, ["row", "col"], "left")
-    halt = F.col("stopped").isNotNull() | F.col("r").isNull()
-    at = checkpointed(
-        at.select("row", "col", F.when(halt, F.col("row")).otherwise(F.col("r")).alias("r"), F.when(halt, F.col("col")).otherwise(F.col("c")).alias("c"), F.when(halt, 0.0).otherwise(F.col("d")).alias("dist"), F.when(halt, 0).otherwise(1).alias("hops"))
-    )
-    for _ in range(rounds):
-        nxt = at.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("dist").alias("d2"), F.col("hops").alias("h2"))
-        both = at.join(nxt, ["r", "c"])
-        moves = F.col("h2") > 0
-        both = checkpointed(both.select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("hops") + F.col("h2")).alias("hops"), moves.alias("moved")))
-        at = both.drop("moved")
-        if both.where("moved").isEmpty() or (most is not None and both.agg(F.min(F.when(F.col("moved"), F.col("hops")))).first()[0] > most):
-            break
-    out = at.join(ends.select(F.col("row").alias("r"), F.col("col").alias("c"), "stopped"), ["r", "c"], "left")
+    cells = p.select("row", "col", F.col("value").cast("double").alias("p")).join(stop.select("row", "col").distinct().withColumn("stop", F.lit(1.0)), ["row", "col"], "left")
+    names = ["r", "c", "dist", "hops", "stopped"]
+
+    def ends(q: Patch, at: np.ndarray, stopped: float) -> tuple:
+        zero = np.zeros(len(at))
+        return at // q.width + q.row0 - 1.0, at % q.width + q.col0 - 1.0, zero, zero, zero + stopped
+
+    def seeds(q: Patch, s: dict) -> np.ndarray:
+        on = q.inside & (q["stop"] == 1) & ~np.isnan(q["p"])
+        at = np.flatnonzero(on)
+        for n, v in zip(names, ends(q, at, 1.0)):
+            s[n][at] = v
+        return on
+
+    def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
+        found = ends(q, at, 0.0)
+        for k, (j, w) in enumerate(near, 1):
+            goes = (w > 0) & ~np.isnan(s["r"][j])
+            more = (0.0, 0.0, q.length(k)[at], 1.0, 0.0)
+            found = tuple(np.where(goes, s[n][j] + m, v) for n, m, v in zip(names, more, found))
+        for n, v in zip(names, found):
+            s[n][at] = v
+
+    found = Flow(cells, meta, "p", upstream=False, size=size).run(names, step, seeds=seeds).where("r >= 0 AND NOT isnan(r)")
+    stopped = F.col("stopped") == 1
     if most is not None:
-        far: Column = F.col("hops") > most
-        out = out.withColumn("stopped", F.when(~far, F.col("stopped")))
-    return out.select("row", "col", "r", "c", "dist", "hops", F.coalesce("stopped", F.lit(False)).alias("stopped"))
+        stopped = stopped & (F.col("hops") <= most)
+    return found.select("row", "col", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "dist", F.col("hops").cast("int").alias("hops"), stopped.alias("stopped"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import grid as G
 from ..operators import direction, flow, local, network, zonal
-from . import workflows
+from . import oracles, workflows
 
 COLS = 125
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,7 +529,8 @@ def dinf_trans_lim_accum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ret_lim_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     ang, meta = dinf(spark, sf_dir)
-    return rounded(flow.ret_lim_flow(ang, attribute(spark, sf_dir, "weight"), attribute(spark, sf_dir, "decay"), meta))
+    found = flow.ret_lim_flow(ang, attribute(spark, sf_dir, "weight"), attribute(spark, sf_dir, "decay"), meta)
+    return found.select("row", "col", F.round("value", 4).alias("value"))
 
 
 @query()
@@ -751,6 +752,31 @@ def wf_conc_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(workflows.conc_limited(ang, attribute(spark, sf_dir, "weight"), attribute(spark, sf_dir, "decay"), attribute(spark, sf_dir, "mark"), meta, check=False))
 
 
+# ------------------------------------------------------- the same on several tiles
+
+
+@query(ORACLES["area_d8"])
+def area_d8_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """area_d8 on tiles of 32 by 32 cells, so that tiles exchange rims at every scale."""
+    p, meta = d8(spark, sf_dir)
+    return flow.area_d8(p, meta, check=False, size=32)
+
+
+@query(ORACLES["area_dinf"])
+def area_dinf_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ang, meta = dinf(spark, sf_dir)
+    return rounded(flow.area_dinf(ang, meta, check=False, size=32))
+
+
+@query()
+def pit_remove_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return direction.fill_pits(attribute(spark, sf_dir, "rough"), meta_of(spark, sf_dir), size=32)
+
+
+ORACLES |= oracles.terrain(_CELLS, _STEPS, _D8, _REACH, _ANGLE, _SHARES, _VALLEY)
+ORACLES["pit_remove_tiled"] = ORACLES["pit_remove"]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which cells of the valley are streams, with at least 40 cells draining through."""
     p, meta = d8(spark, sf_dir)

@@ -2,8 +2,8 @@
 
 A grid is dealt to square tiles, each with a rim of one cell from its
 neighbours.  A kernel solves a tile from its inputs and from what is known of
-the rim.  Tiles then exchange their outermost cells and the kernel runs again,
-until no exchanged value changes; the last run returns all cells.  A grid of
+the rim.  Tiles then exchange their outermost cells, and the kernel runs again on the
+tiles whose rim has changed, until none has; the last run returns all cells.  A grid of
 one tile needs no exchange.  Memory is bounded by the tile's size, and the
 exchanged data by the tiles' perimeters.
 
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.grid import STEPS, GridMeta
 
 TILE = 512
+#: Tiles that a scan is told by number, so that it skips the others' row groups.
+NAMED = 1000
 Kernel = Callable[["Patch"], dict[str, np.ndarray]]
 
 
@@ -173,12 +175,14 @@ def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str],
     names = [c for c in cells.columns if c not in ("row", "col")]
     exchanged = exchanged or []
     shape = shape_of(size, meta)
+    across = -(-meta.ncols // shape[1])  # tiles in a row of tiles; tile t is in row t // across
+    number = lambda c: (F.col(f"{c}.ty") * across + F.col(f"{c}.tx")).cast("long")
     schema = "row int, col int, " + ", ".join(f"{o} double" for o in outputs)
-    tiled = cells.select("row", "col", *(F.col(n).cast("double").alias(n) for n in names)).withColumn("tile", F.explode(_touched(shape, meta))).select("tile.ty", "tile.tx", "row", "col", *names)
+    tiled = cells.select("row", "col", *(F.col(n).cast("double").alias(n) for n in names)).withColumn("tile", F.explode(_touched(shape, meta))).select(number("tile").alias("t"), "row", "col", *names)
     one = meta.nrows <= shape[0] and meta.ncols <= shape[1]
 
-    def run(ty: int, tx: int, rows: pd.DataFrame, rim: pd.DataFrame | None, edge: bool) -> pd.DataFrame:
-        patch = _patch(meta, shape, ty, tx, rows, names, rim, exchanged)
+    def run(t: int, rows: pd.DataFrame, rim: pd.DataFrame | None, edge: bool) -> pd.DataFrame:
+        patch = _patch(meta, shape, t // across, t % across, rows, names, rim, exchanged)
         found = kernel(patch)
         keep = patch.inside.copy()
         if edge:
@@ -189,33 +193,32 @@ def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str],
             for n in exchanged[:1]:
                 keep &= ~np.isnan(found[n])
         at = np.flatnonzero(keep)
-        out = pd.DataFrame({"row": at // patch.width + patch.row0 - 1, "col": at % patch.width + patch.col0 - 1})
+        out = pd.DataFrame(({"t": t} if edge else {}) | {"row": at // patch.width + patch.row0 - 1, "col": at % patch.width + patch.col0 - 1})
         for n in exchanged if edge else outputs:
             out[n] = pd.array(found[n][at], dtype="Float64") if np.isnan(found[n][at]).any() else found[n][at]
             out[n] = out[n].where(~np.isnan(found[n][at]), None) if np.isnan(found[n][at]).any() else out[n]
         return out
 
     if one or not exchanged:
-        return tiled.groupBy("ty", "tx").applyInPandas(lambda key, rows: run(key[0], key[1], rows, None, False), schema)
+        return tiled.groupBy("t").applyInPandas(lambda key, rows: run(key[0], rows, None, False), schema)
 
-    tiled = checkpointed(tiled)
-    edge_schema = "row int, col int, " + ", ".join(f"{o} double" for o in exchanged)
-    rim: DataFrame | None = None
-    before = None
+    tiled = checkpointed(tiled.repartition("t").sortWithinPartitions("t"))
+    edge_schema = "t long, row int, col int, " + ", ".join(f"{o} double" for o in exchanged)
+    own = F.struct(F.floor(F.col("row") / shape[0]).cast("int").alias("ty"), F.floor(F.col("col") / shape[1]).cast("int").alias("tx"))
+    edges = checkpointed(tiled.groupBy("t").applyInPandas(lambda key, rows: run(key[0], rows, None, True), edge_schema))
+    seen: DataFrame | None = None
     for _ in range(rounds):
-        if rim is None:
-            edges = tiled.groupBy("ty", "tx").applyInPandas(lambda key, rows: run(key[0], key[1], rows, None, True), edge_schema)
-        else:
-            edges = tiled.groupBy("ty", "tx").cogroup(rim.groupBy("ty", "tx")).applyInPandas(lambda key, rows, r: run(key[0], key[1], rows, r, True), edge_schema)
-        edges = checkpointed(edges)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))).first())
-        own = F.struct(F.floor(F.col("row") / shape[0]).cast("int").alias("ty"), F.floor(F.col("col") / shape[1]).cast("int").alias("tx"))
-        rim = edges.withColumn("tile", F.explode(F.array_remove(_touched(shape, meta), own))).select("tile.ty", "tile.tx", *edges.columns)
-        if now == before:
+        rim = edges.withColumn("tile", F.explode(F.array_remove(_touched(shape, meta), own))).select(number("tile").alias("t"), "row", "col", *exchanged)
+        now = checkpointed(rim.groupBy("t").agg(F.sum(F.xxhash64("row", "col", *exchanged).cast("decimal(38,0)")).alias("h")))
+        changed = now if seen is None else now.join(seen.withColumnRenamed("h", "was"), "t", "left").where("was is null or was <> h")
+        changed, seen = checkpointed(changed.select("t")), now
+        some = [r["t"] for r in changed.limit(NAMED + 1).collect()]
+        if not some:
             break
-        before = now
+        pick = (lambda df: df.where(F.col("t").isin(some))) if len(some) <= NAMED else (lambda df: df.join(changed, "t", "left_semi"))
+        rest = edges.where(~F.col("t").isin(some)) if len(some) <= NAMED else edges.join(changed, "t", "left_anti")
+        again = pick(tiled).groupBy("t").cogroup(pick(rim).groupBy("t")).applyInPandas(lambda key, rows, r: run(key[0], rows, r, True), edge_schema)
+        edges = checkpointed(rest.unionByName(again))
     else:
         raise RuntimeError(f"tiles did not settle in {rounds} rounds")
-    return tiled.groupBy("ty", "tx").cogroup(rim.groupBy("ty", "tx")).applyInPandas(lambda key, rows, r: run(key[0], key[1], rows, r, False), schema)
-
-
+    return tiled.groupBy("t").cogroup(rim.groupBy("t")).applyInPandas(lambda key, rows, r: run(key[0], rows, r, False), schema)

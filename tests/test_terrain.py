@@ -269,7 +269,7 @@ def test_stability_probability():
     rng = np.random.default_rng(0)
     args = dict(tmin=2.0, tmax=3.0, cmin=0.0, cmax=0.25, phimin=30.0, phimax=45.0, density=2000.0)
     for slope, area in ((0.8, 300.0), (1.2, 1500.0), (0.9, 40.0)):
-        si, _ = local.sinmap_cell(slope, area, 0.0, 0.0, *args.values(), 0.0009, 0.00135, 9.81, 1000.0)
+        si = float(local.sinmap_cells(np.array([[slope, area, 0.0, 0.0, *args.values()]] * 2).T, 0.0009, 0.00135, 9.81, 1000.0)[0][1])
         theta = math.atan(slope)
         x1, x2 = area * 0.0009 / 3.0 / math.sin(theta), area * 0.00135 / 2.0 / math.sin(theta)
         w = np.minimum(rng.uniform(x1, x2, 400_000), 1)
@@ -277,7 +277,8 @@ def test_stability_probability():
         fs = (c + math.cos(theta) * (1 - w * 0.5) * t) / math.sin(theta)
         if 0 < si < 1:
             assert abs(si - (fs > 1).mean()) < 5e-3
-    assert local.sinmap_cell(0.0, 1.0, 0, 0, *args.values(), 0.1, 0.2, 9.81, 1000.0) == (10.0, 3.0)
+    flat = local.sinmap_cells(np.array([[0.0, 1.0, 0, 0, *args.values()], [-1.0, 1.0, 0, 0, *args.values()]]).T, 0.1, 0.2, 9.81, 1000.0)
+    assert [x[0] for x in flat] == [10.0, 3.0] and np.isnan([x[1] for x in flat]).all()
 
 
 def test_compatible():
