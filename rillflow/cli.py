@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.grid import GridMeta
+from .functions.grid import GridMeta, place_of
 from .operators import direction, flow, local, network, zonal
+from .plans import workflows
 from .sources import geotiff, rawgrid, tables, vector
 
 
@@ -35,7 +36,7 @@ class Job:
     def __init__(self, spark: SparkSession, args: list[str], simple: tuple[str, ...] = ()):
         self.spark, self.flags, self.meta = spark, {}, None
         if len(args) == 1 and not args[0].startswith("-"):
-            self.flags = {f: [args[0] if i == 0 and f == "z" else tables.name_add(args[0], f)] for i, f in enumerate(simple)}
+            self.flags = {f.partition(".")[0]: [args[0] if i == 0 and f == "z" else tables.name_add(args[0], f)] for i, f in enumerate(simple)}
             return
         name = ""
         for a in args:
@@ -108,15 +109,10 @@ def _streamnet(j: Job) -> None:
     found = network.stream_net(p, dem, area, src, j.meta, j.outlets(), j.has("sw"))
     j.put("ord", found["order"], "short")
     j.put("w", found["watershed"], "int")
-    if j.has("tree"):
-        tables.write_tree(found["links"], j.path("tree"))
-    if j.has("coord"):
-        tables.write(found["points"].orderBy("link", F.desc("hops")).select("col", "row", "hops", "z", "a"), j.path("coord"), "\t", False)
+    path = lambda n: j.path(n) if j.has(n) else None
+    tables.write_network(found["links"], found["points"], j.meta, path("tree"), path("coord"))
     if j.has("net"):
-        x = lambda c: F.lit(j.meta.xleft + j.meta.dx / 2) + F.col(c) * j.meta.dx
-        y = lambda r: F.lit(j.meta.ytop - j.meta.dy / 2) - F.col(r) * j.meta.dy
-        line = F.array(F.struct(x("ec").alias("x"), y("er").alias("y")), F.struct(x("hc").alias("x"), y("hr").alias("y")))
-        vector.write_layer(found["links"].withColumn("coords", line).drop("hr", "hc", "er", "ec"), j.path("net"))
+        vector.write_layer(tables.net_layer(found["links"], found["points"], j.meta), j.path("net"))
 
 
 def _distance(down: bool) -> Callable[[Job], None]:
@@ -178,12 +174,53 @@ def _gage(j: Job) -> None:
     j.put("gw", network.gage_watershed(p, gages, j.meta), "int")
     if j.has("id"):
         tables.write(network.gage_links(p, gages, j.meta), j.path("id"), " ")
+    if j.has("upid"):
+        x, y = place_of(F.col("row"), F.col("col"), j.meta)
+        edge = network.open_neighbours(p, network.gage_watershed(p, gages, j.meta), j.meta)
+        edge.select(F.format_string("%f, %f", x, y)).write.mode("overwrite").text(j.path("upid"))
+
+
+def _catch(j: Job) -> None:
+    """Outlets from a stream layer: LINKNO, DSLINKNO, USLINKNO1, USLINKNO2, DOUTEND and Id at their places."""
+    p = j.grid("p")
+    net = vector.read_lines(j.spark, j.path("net"), j.meta)
+    found = network.catch_outlets(net, p, j.meta, j.number("mindist", 0), int(j.number("gwstartno", 1)), j.number("minarea", 0))
+    own = net.select("link", "dslink", "us1", "us2")
+    _points(lambda _: found.join(own, "link").select(F.col("link").alias("LINKNO"), F.col("dslink").alias("DSLINKNO"), F.col("us1").alias("USLINKNO1"), F.col("us2").alias("USLINKNO2"), F.col("dist").alias("DOUTEND"), F.col("id").alias("Id"), "row", "col"), "o")(j)
+
+
+def _stability(j: Job) -> None:
+    """The stability index by a control file of key=value lines."""
+    keys = tables.read_control(j.spark, j.path("params"))
+    j.flags |= {k: [v] for k, v in keys.items()}
+    slope, ang, cal = j.grid("slp"), j.grid("ang"), j.grid("cal")
+    number = lambda name, default: float(keys.get(name) or default)
+    if keys.get("sca"):
+        j.put("sca", flow.area_dinf(ang, j.meta, check=False))
+    found = workflows.stability(slope, ang, cal, tables.read(j.spark, keys["calpar"], tables.REGIONS), j.meta, number("minimumterrainrecharge", 0.0009), number("maximumterrainrecharge", 0.00135), g=number("g", 9.81), rhow=number("rhow", 1000.0))
+    j.put("si", found, column="si")
+    j.put("sat", found, column="sat")
+
+
+def _copy(j: Job) -> None:
+    points = vector.read_points(j.spark, j.path("in"))
+    fields = sorted(r[0] for r in points.select(F.explode(F.map_keys("props"))).distinct().collect())  # the layer's field names
+    vector.write_layer(points.select("x", "y", *(F.col("props")[n].alias(n) for n in fields)), j.path("out"))
+
+
+def _verify(j: Job) -> None:
+    """How many cells of two grids differ by more than a tolerance."""
+    a, b = j.grid("a"), j.grid("b")
+    other, gap = F.col("other"), F.abs(F.col("value") - F.col("other"))
+    differs = F.coalesce(gap > j.number("tol", 0.0), F.col("value").isNull() != other.isNull())
+    found = a.join(b.withColumnRenamed("value", "other"), ["row", "col"], "full").agg(F.count("*").alias("cells"), F.count_if(differs).alias("differing"), F.max(gap).alias("most")).first()
+    print(f"{found['differing']} of {found['cells']} cells differ; largest difference {found['most']}")
 
 
 def _drop(j: Job) -> None:
     area, p, dem, ssa = (j.grid(n) for n in ("ad8", "p", "fel", "ssa"))
     steps = network.drop_thresholds(j.number("par", 5, 0), j.number("par", 500, 1), int(j.number("par", 10, 2)), j.number("par", 0, 3) == 0)
-    tables.write(network.drop_statistics(p, dem, ssa, area, j.outlets(), j.meta, steps), j.path("drp"))
+    tables.write_drops(network.drop_statistics(p, dem, ssa, area, j.outlets(), j.meta, steps), j.path("drp"), max(steps))
 
 
 def _edit(j: Job) -> None:
@@ -194,7 +231,7 @@ def _edit(j: Job) -> None:
 def _hydro(j: Job) -> None:
     hand, catch, slope = j.grid("hand"), j.grid("catch"), j.grid("slp")
     stages = [r["stage"] for r in tables.read(j.spark, j.path("h"), tables.STAGES).collect()]
-    tables.write(zonal.hydraulic_table(hand, catch, tables.read(j.spark, j.path("catchlist"), tables.CATCHMENTS), slope, stages, j.meta), j.path("table"))
+    tables.write(zonal.hydraulic_table(hand, catch, tables.read(j.spark, j.path("catchlist"), tables.CATCHMENTS), slope, stages, j.meta).toDF(*tables.RATING_HEADINGS), j.path("table"))
 
 
 def _inundation(j: Job) -> None:
@@ -202,7 +239,7 @@ def _inundation(j: Job) -> None:
     stages = zonal.stage_of_flow(tables.read(j.spark, j.path("fc"), tables.FORECAST), tables.read(j.spark, j.path("hp"), tables.RATING))
     j.put("inun", zonal.inundation(hand, catch, stages, mask))
     if j.has("depth"):
-        tables.write(zonal.inundated_area(hand, catch, stages, j.meta), j.path("depth"))
+        tables.write(zonal.inundated_area(hand, catch, stages, j.meta).toDF(*tables.INUNDATION_HEADINGS).na.fill(-9999.0), j.path("depth"))
 
 
 def _sinmap(j: Job) -> None:
@@ -227,10 +264,14 @@ TOOLS: dict[str, tuple[Callable[[Job], None], tuple[str, ...]]] = {
     "lengtharea": (_one("ss", "plen ad8", lambda j, length, a: local.length_area(length, a, j.number("par", 0.03, 0), j.number("par", 1.3, 1)), "short"), ("plen", "ad8", "ss")),
     "dropanalysis": (_drop, ()),
     "threshold": (_one("src", "ssa mask", lambda j, a, m: local.threshold(a, j.number("thresh", 100), m), "short"), ("ssa", "src")),
-    "streamnet": (_streamnet, ("fel", "p", "ad8", "src", "ord", "tree", "coord", "net", "w")),
+    "streamnet": (_streamnet, ("fel", "p", "ad8", "src", "ord", "tree.dat", "coord.dat", "net.shp", "w")),
     "moveoutletstostreams": (_points(_move, "om"), ()),
     "gagewatershed": (_gage, ()),
     "connectdown": (_connect, ()),
+    "catchoutlets": (_catch, ()),
+    "stabilityindex": (_stability, ()),
+    "ogrcopy": (_copy, ()),
+    "demverify": (_verify, ()),
     "d8hdisttostrm": (_one("dist", "p src", lambda j, p, s: flow.hdist_d8(p, s, j.meta, j.number("thresh", 1))), ("p", "src", "dist")),
     "d8vdisttostrm": (_one("dist", "p fel src", lambda j, p, z, s: flow.vdist_d8(p, z, s, j.meta, j.number("thresh", 1))), ("p", "fel", "src", "dist")),
     "dinfdistdown": (_distance(True), ("ang", "fel", "src", "dd")),

@@ -24,11 +24,13 @@ def register(spark: SparkSession) -> None:
 
 
 def register_tables(spark: SparkSession, meta: GridMeta, **grids: str) -> None:
-    """Makes temporary views of operators over views of cells: dem gives <dem>_fel, <dem>_p and <dem>_ang."""
+    """Makes temporary views of operators over views of cells: dem gives <dem>_fel (filled), and of it <dem>_p and <dem>_ang."""
     from ..operators import direction
+    from ..plans.tiles import checkpointed
 
     for name, view in grids.items():
         cells = spark.table(view)
-        direction.fill_pits(cells, meta).createOrReplaceTempView(f"{name}_fel")
-        direction.d8_first(cells, meta).createOrReplaceTempView(f"{name}_p")
-        direction.dinf_first(cells, meta).createOrReplaceTempView(f"{name}_ang")
+        filled = checkpointed(direction.fill_pits(cells, meta))
+        filled.createOrReplaceTempView(f"{name}_fel")
+        direction.d8_direction(filled, meta).createOrReplaceTempView(f"{name}_p")
+        direction.dinf_direction(filled, meta).createOrReplaceTempView(f"{name}_ang")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.grid import GridMeta, place_of
+from ..functions.grid import GridMeta, neighbours, place_of
 from ..plans.paths import follow, receivers
 from ..plans.tiles import TILE, Patch, checkpointed
 from .flow import Flow, Near, _cells, area_d8, strahler
@@ -44,6 +44,15 @@ def gage_watershed(p: DataFrame, gages: DataFrame, meta: GridMeta, size: int = T
     return found.select("row", "col", F.nanvl("v", F.lit(None)).cast(gages.schema["id"].dataType).alias("value"))
 
 
+def open_neighbours(p: DataFrame, labels: DataFrame, meta: GridMeta) -> DataFrame:
+    """row, col of cells without a direction beside a cell with a label: where a watershed may go on beyond the grid."""
+    near = neighbours(labels.select("row", "col", "value").join(p.select("row", "col", F.col("value").alias("p")), ["row", "col"]), "value")
+    beside = F.lit(False)
+    for k in range(1, 9):
+        beside = beside | F.col(f"n{k}").isNotNull()
+    return near.where(F.col("p").isNull() & beside).select("row", "col")
+
+
 def gage_links(p: DataFrame, gages: DataFrame, meta: GridMeta) -> DataFrame:
     """id and iddown (the next gage downstream, -1 if none) of every gage."""
     labels = gage_watershed(p, gages, meta).select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("value").alias("iddown"))
@@ -151,7 +160,7 @@ def optimum_threshold(drops: DataFrame) -> DataFrame:
 
 
 def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame, meta: GridMeta, outlets: DataFrame | None = None, single_watershed: bool = False, size: int = TILE) -> dict[str, DataFrame]:
-    """links, points, watershed and order of the stream network.
+    """links, points (hops: steps to the link's end, d: distance to the outlet), watershed and order of the stream network.
 
     Links run from a source, a junction or an outlet to the next junction, outlet or
     end, and share the junction's cell.  Ids follow the place of the link's first cell
@@ -199,6 +208,7 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
             "link", "hr", "hc", "er", "ec", F.col("ord").alias("strmorder"), "magnitude", "length", "drop", F.when(F.col("length") > 0, F.col("drop") / F.col("length")).otherwise(0.0).alias("slope"),
             F.sqrt(F.pow(x[1] - y[1], 2) + F.pow(x[0] - y[0], 2)).alias("straightl"), (F.col("a_up") * meta.dx * meta.dy).alias("uscontarea"), (F.col("a_tail") * meta.dx * meta.dy).alias("dscontarea"),
             "doutend", (F.col("doutend") + F.col("length")).alias("doutstart"), (F.col("doutend") + F.col("length") / 2).alias("doutmid"), F.coalesce("dsnode", F.lit(-1)).alias("dsnode"),
+            F.col("last_step").isNotNull().alias("shared"),
         )
     )
     links = checkpointed(links)
@@ -236,7 +246,7 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
     end = links.select(F.col("hr").alias("jr"), F.col("hc").alias("jc"), "doutstart", "uscontarea")
     zero = (
         ups.where(F.col("here") >= n_links).join(end, ["jr", "jc"])
-        .select(F.col("here").alias("link"), F.col("jr").alias("hr"), F.col("jc").alias("hc"), F.col("jr").alias("er"), F.col("jc").alias("ec"), F.col("o").alias("strmorder"), F.col("m").alias("magnitude"), F.lit(0.0).alias("length"), F.lit(0.0).alias("drop"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("straightl"), "uscontarea", F.col("uscontarea").alias("dscontarea"), F.col("doutstart").alias("doutend"), "doutstart", F.col("doutstart").alias("doutmid"), F.lit(-1).alias("dsnode"))
+        .select(F.col("here").alias("link"), F.col("jr").alias("hr"), F.col("jc").alias("hc"), F.col("jr").alias("er"), F.col("jc").alias("ec"), F.col("o").alias("strmorder"), F.col("m").alias("magnitude"), F.lit(0.0).alias("length"), F.lit(0.0).alias("drop"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("straightl"), "uscontarea", F.col("uscontarea").alias("dscontarea"), F.col("doutstart").alias("doutend"), "doutstart", F.col("doutstart").alias("doutmid"), F.lit(-1).alias("dsnode"), F.lit(True).alias("shared"))
     )
     whole = links.withColumn("link", F.col("link").cast("long")).unionByName(zero)
     net = (
@@ -244,7 +254,11 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
         .select("link", F.coalesce("dslink", F.lit(-1)).alias("dslink"), F.coalesce("us1", F.lit(-1)).alias("us1"), F.coalesce("us2", F.lit(-1)).alias("us2"), F.col("dsnode"), "strmorder", "magnitude", "length", "drop", "slope", "straightl", "uscontarea", "dscontarea", "doutend", "doutstart", "doutmid", "hr", "hc", "er", "ec")
     )
     net = checkpointed(net)
-    points = member.select("link", F.col("hops"), "row", "col").join(values, ["row", "col"])
+    # the points of a link: its cells, and where it shares one the cell of its end; d: distance to the outlet
+    own = member.join(last.select("tr", "tc", "last_step"), ["tr", "tc"], "left").join(net.select("link", "doutend"), "link")
+    own = own.select("link", (F.col("hops") + 1).alias("hops"), "row", "col", (F.col("doutend") + F.col("dist") + F.coalesce("last_step", F.lit(0.0))).alias("d"))
+    end_points = whole.where("shared").select("link", F.lit(0).alias("hops"), F.col("er").alias("row"), F.col("ec").alias("col"), F.col("doutend").alias("d"))
+    points = own.unionByName(end_points).join(values, ["row", "col"]).select("link", "hops", "row", "col", "d", "z", "a")
     first_stream = follow(p, meta, on.select("row", "col")).where("stopped").select("row", "col", "r", "c")
     label = F.lit(1).cast("long") if single_watershed else F.col("link").cast("long")
     watershed = first_stream.join(member.select(F.col("row").alias("r"), F.col("col").alias("c"), "link"), ["r", "c"]).select("row", "col", label.alias("value"))

@@ -66,6 +66,7 @@ def test_lines_and_sqlite(spark, tmp_path):
 
 def test_names():
     assert tables.name_add("/a/b.c/dem.tif", "fel") == "/a/b.c/demfel.tif" and tables.name_add("dem", "p") == "demp"
+    assert tables.name_add("/a/dem.tif", "tree.dat") == "/a/demtree.dat"
 
 
 def test_cli(spark, tmp_path):
@@ -81,3 +82,31 @@ def test_cli(spark, tmp_path):
     assert found.where("value = 1").count() > 0 and found.where(F.col("value").isNull()).count() == 2 * 15 + 2 * 9
     with pytest.raises(SystemExit):
         cli.run(spark, ["nothing"])
+    # the network's files
+    grid = lambda n: tables.name_add(base, n)
+    out = lambda n: f"file://{tmp_path}/{n}"
+    cli.run(spark, ["streamnet", "-fel", grid("fel"), "-p", grid("p"), "-ad8", grid("ad8"), "-src", grid("src"), "-ord", grid("ord"), "-w", grid("w"), "-tree", out("tree"), "-coord", out("coord"), "-net", out("net.json")])
+    read = lambda n: [r["value"] for r in spark.read.text(out(n)).collect()]
+    tree, coord = sorted([int(x) for x in v.split()] for v in read("tree")), read("coord")
+    assert all(v.startswith("\t") and len(v.split("\t")) == 6 for v in coord) and all(len(t) == 9 for t in tree)
+    assert [t[0] for t in tree] == list(range(len(tree))) and tree[0][1] == 0 and tree[-1][2] == len(coord) - 1
+    assert all(a[2] + 1 == b[1] for a, b in zip(tree, tree[1:]))
+    points = [tuple(float(x) for x in v.split()) for v in sorted(coord, key=coord.index)]
+    first = points[tree[0][1] : tree[0][2] + 1]
+    assert all(a[2] > b[2] and a[3] >= b[3] and abs(a[2] - b[2] - ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5) < 1e-4 for a, b in zip(first, first[1:]))
+    net = json.loads((tmp_path / "net.json").read_text())["features"]
+    assert list(net[0]["properties"]) == list(tables.NET_FIELDS) and len(net) == len(tree)
+    assert {f["properties"]["LINKNO"]: len(f["geometry"]["coordinates"]) for f in net} == {t[0]: max(2, t[2] - t[1] + 1) for t in tree}
+    cli.run(spark, ["catchoutlets", "-p", grid("p"), "-net", out("net.json"), "-o", out("out.json"), "-mindist", "1", "-minarea", "5"])
+    made = json.loads((tmp_path / "out.json").read_text())["features"]
+    assert sorted(f["properties"]["Id"] for f in made) == list(range(1, len(made) + 1)) and len(made) >= sum(t[3] < 0 for t in tree)
+    (tmp_path / "o.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": 3}, "geometry": {"type": "Point", "coordinates": [5.5, 1.5]}}]}))
+    cli.run(spark, ["dropanalysis", "-ad8", grid("ad8"), "-p", grid("p"), "-fel", grid("fel"), "-ssa", grid("ad8"), "-o", out("o.json"), "-drp", out("drp.csv"), "-par", "2", "8", "3", "0"])
+    lines = (tmp_path / "drp.csv").read_text().splitlines()
+    assert lines[0] == tables.DROP_HEADING and lines[-1].startswith("Optimum Threshold Value: ") and tables.read_optimum(spark, out("drp.csv")) >= 2
+    cli.run(spark, ["gagewatershed", "-p", grid("p"), "-gw", grid("gw"), "-o", out("o.json"), "-id", out("id.txt"), "-upid", out("up.txt")])
+    cli.run(spark, ["ogrcopy", "-in", out("o.json"), "-out", out("copy.json")])
+    assert json.loads((tmp_path / "copy.json").read_text())["features"][0]["geometry"]["coordinates"] == [5.5, 1.5]
+    cli.run(spark, ["demverify", "-a", grid("fel"), "-b", grid("fel")])
+    (tmp_path / "control.txt").write_text("# limits\nslp = a.tif # slope\ng=9.81\n")
+    assert tables.read_control(spark, out("control.txt")) == {"slp": "a.tif", "g": "9.81"}
