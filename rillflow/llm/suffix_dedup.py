@@ -193,6 +193,38 @@ def permuted_lcp(raw: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def repeated_windows(segments: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of length bytes that also start at a smaller place: segment, first window and the one after the last; places[i]: that of segment i's first byte."""
+    which, begin, parts = candidates(segments, length)
+    if not len(which):
+        return which, begin, begin
+    owner, first, after = _sorted_repeats(parts, places[which] + begin, length)
+    return which[owner], begin[owner] + first, begin[owner] + after
+
+
+def candidates(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The parts of segments whose windows have a hash that occurs again: segment, first byte and bytes of each.
+
+    Equal windows have equal hashes, so nothing is lost; the suffix array compares the bytes.
+    """
+    sizes = np.array([len(s) for s in segments])
+    raw = np.frombuffer(b"".join(segments), np.uint8)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    key = T.spans_hash(T.prefix_hash(raw), length)
+    owner = np.repeat(np.arange(len(segments)), sizes)[: len(key)]
+    window = np.arange(len(key)) + length <= (starts + sizes)[owner]
+    found = key[window]
+    order = np.sort(found)
+    again = np.zeros(len(key), bool)
+    again[window] = T.contained(found, order[1:][order[1:] == order[:-1]])
+    # runs of such windows, cut where a segment ends
+    on = np.concatenate(([False], again, [False]))
+    lead = np.concatenate((owner, [-1])) != np.concatenate(([-1], owner))
+    first = np.flatnonzero(on[1:] & (~on[:-1] | lead))[: len(key)]
+    last = np.flatnonzero(on[1:-1] & (~on[2:] | lead[1:]))
+    return owner[first], first - starts[owner[first]], [raw[a : b + length].tobytes() for a, b in zip(first, last)]
+
+
+def _sorted_repeats(segments: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """repeated_windows by the suffix array of all segments."""
     sizes = np.array([len(s) for s in segments])
     raw = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -224,9 +256,7 @@ def segments_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.n
     if len(data) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     prefix = T.prefix_hash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    gram = T.span_hash(prefix, at, at + GRAM)
-    least = (gram & ~_PLACE) | at.astype(np.uint64)
+    least = (T.spans_hash(prefix, GRAM) & ~_PLACE) | np.arange(len(data) - GRAM + 1, dtype=np.uint64)
     width, span = 1, length - GRAM + 1
     while 2 * width <= span:
         least = np.minimum(least[: len(least) - width], least[width:])

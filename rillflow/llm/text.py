@@ -100,10 +100,13 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser on uint64."""
+    x = x ^ (x >> np.uint64(30))
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -133,6 +136,20 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def spans_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """span_hash of size bytes from every place on that leaves room."""
+    n = max(len(prefix) - size, 0)
+    _, down = _powers(len(prefix))
+    return mix((prefix[size:] - prefix[:n]) * down[:n] + np.uint64(size))
+
+
+def contained(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of values occur in among (sorted)."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among.take(np.searchsorted(among, values), mode="clip") == values
+
+
 #: 0 white space, 1 letters, digits and all non-ASCII bytes, 2 other ASCII.
 BYTE_KIND = np.array([0 if b in b"\t\n\v\f\r \x1c\x1d\x1e\x1f" else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)

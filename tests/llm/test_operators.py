@@ -331,6 +331,24 @@ def test_suffix_dedup_of_repeated_rows_and_texts(spark, documents):
     assert suffix_dedup.digests(empty(spark)).count() == 0
 
 
+def test_repeated_windows_of_segments():
+    rng = random.Random(51)
+    for trial in range(30):
+        pool = ["".join(rng.choices("ab", k=rng.randint(3, 9))) for _ in range(4)]
+        segments = ["".join(rng.choices(pool, k=rng.randint(1, 12))).encode() for _ in range(rng.randint(2, 9))]
+        segments = [s for s in segments if len(s) >= 8] or [b"abababab"]
+        places = np.cumsum([100] * len(segments))
+        rng.shuffle(order := list(range(len(segments))))
+        places = places[order]
+        first = {}
+        for i, s in enumerate(segments):
+            for k in range(len(s) - 7):
+                first[s[k : k + 8]] = min(first.get(s[k : k + 8], 1 << 40), int(places[i]) + k)
+        want = {(i, k) for i, s in enumerate(segments) for k in range(len(s) - 7) if places[i] + k > first[s[k : k + 8]]}
+        found = suffix_dedup.repeated_windows(segments, places, 8)
+        assert {(int(i), k) for i, a, b in zip(*found) for k in range(a, b)} == want
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(2)
     for n, a in ((70, 2), (300, 3), (600, 20)):
