@@ -18,13 +18,13 @@ from .sources import geotiff, rawgrid, tables, vector
 
 
 def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, GridMeta]:
-    return (rawgrid if path.lower().endswith((".bil", ".bin")) else geotiff).read(spark, path)
+    return (rawgrid if path.lower().endswith((".bil", ".bin", ".sdat")) else geotiff).read(spark, path)
 
 
 def write_grid(cells: DataFrame, meta: GridMeta, path: str, kind: str = "float") -> None:
     dtype, nodata = {"float": ("<f4", -3.4028234663852886e38), "short": ("<i2", -32768.0), "int": ("<i4", -2147483647.0)}[kind]
     meta = meta.with_nodata(nodata)
-    if path.lower().endswith((".bil", ".bin")):
+    if path.lower().endswith((".bil", ".bin", ".sdat")):
         rawgrid.write(cells, meta, path, dtype)
     else:
         geotiff.write(cells, meta, path if path.lower().endswith((".tif", ".tiff")) else f"{path}.tif", dtype)

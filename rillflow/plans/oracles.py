@@ -323,3 +323,34 @@ def terrain(cells: str, steps: str, d8: str, reach: str, angle: str, shares: str
     specific = {"v": ("1", "sum(e.share * a.v) + 1")}
     out["wf_stability_index"] = f"{flow}, {levels('links', alive)}, {by_level('area', specific, 'links', 'dinf')}, input AS (SELECT row, col, id, slp, v AS sca FROM dinf LEFT JOIN area USING (id)), {_stability('slp', 'sca')}"
     return out
+
+
+def oblong(d8: str, reach: str, angle: str, shares: str) -> dict[str, str]:
+    """The SQL of queries on cells of 30 by 20 with NULL cells, put together from that of square ones."""
+    changes = [
+        ("(1, 0, 1, 1.0::DOUBLE, 1)", "(1, 0, 1, 30.0::DOUBLE, 1)"), ("(5, 0, -1, 1.0::DOUBLE, 3)", "(5, 0, -1, 30.0::DOUBLE, 3)"), ("(3, -1, 0, 1.0::DOUBLE, 2)", "(3, -1, 0, 20.0::DOUBLE, 2)"), ("(7, 1, 0, 1.0::DOUBLE, 4)", "(7, 1, 0, 20.0::DOUBLE, 4)"),
+        ("sqrt(2.0::DOUBLE)", "sqrt(1300.0::DOUBLE)"), ("count(*) AS n, max(slope)", "count(slope) AS n, max(slope)"),
+        ("CAST(8 * (2000", "CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 50 <> 0 THEN CAST(8 * (2000"), ("% 7 AS DOUBLE) AS z", "% 7 AS DOUBLE) END AS z"),
+        ("count(*) AS n\n       FROM cells c, steps s, cells n", "CASE WHEN any_value(c.z) IS NOT NULL THEN count(n.z) END AS n\n       FROM cells c, steps s, cells n"),
+        ("c.z - f.e1 AS s1, f.e1 - f.e2 AS s2, c.z - f.e2 AS s3", "(c.z - f.e1) / f.d1 AS s1, (f.e1 - f.e2) / f.d2 AS s2, c.z - f.e2 AS s3, atan2(f.d2, f.d1) AS most"),
+        ("f(i, e1, e2, base, sign)", "f0(i, e1, e2, base, sign), LATERAL (SELECT f0.*, CASE WHEN f0.i IN (1, 4, 5, 8) THEN 30.0::DOUBLE ELSE 20 END AS d1, CASE WHEN f0.i IN (1, 4, 5, 8) THEN 20.0::DOUBLE ELSE 30 END AS d2) f"),
+        ("a > atan2(1.0::DOUBLE, 1.0::DOUBLE)", "a > most"), ("THEN atan2(1.0::DOUBLE, 1.0::DOUBLE) ELSE a END", "THEN most ELSE a END"),
+    ]
+    t = "atan2(20.0::DOUBLE, 30.0::DOUBLE)"
+    edges = ["0", t, f"{_PI} / 2", f"{_PI} - {t}", _PI, f"{_PI} + {t}", f"{_PI} * 1.5", f"{_PI} * 2 - {t}", f"{_PI} * 2"]
+    marks = ", ".join(f"({k}, {edges[k - 2] if k > 1 else f'-{t}'}, {edges[k - 1]}, {edges[k]})" for k in range(1, 9))
+    changes.append((f"marks AS (SELECT k, dr, dc, CASE WHEN k = 1 THEN -q ELSE (k - 2) * q END AS lo, (k - 1) * q AS mid, k * q AS hi FROM (SELECT *, {_PI} / 4 AS q FROM steps))", f"marks AS (SELECT k, dr, dc, lo, mid, hi FROM steps JOIN (VALUES {marks}) v(k, lo, mid, hi) USING (k))"))
+
+    def changed(sql: str) -> str:
+        for a, b in changes:
+            sql = sql.replace(a, b)
+        return f"WITH RECURSIVE {sql}"
+
+    lengths = "SELECT d.row, d.col, round(plen, 6) AS plen, round(tlen, 6) AS tlen FROM d8 d LEFT JOIN (SELECT r.pos AS id, max(r.len) AS plen, coalesce(sum(e.len) FILTER (r.hops > 0), 0) AS tlen FROM reach r LEFT JOIN edges e ON e.src = r.id GROUP BY r.pos) USING (id)"
+    mass = "mass(t, id, v) AS (SELECT 0, id, 30.0::DOUBLE FROM dinf WHERE ang IS NOT NULL UNION ALL SELECT m.t + 1, l.dst, sum(m.v * l.share) FROM mass m JOIN links l ON l.src = m.id GROUP BY m.t + 1, l.dst)"
+    return {
+        "d8_slope_dir_oblong": f"{changed(d8)} SELECT row, col, CAST(p AS INT) AS p, round(slope, 6) AS slope FROM d8",
+        "grid_net_oblong": f"{changed(reach)} {lengths}",
+        "dinf_flowdir_oblong": f"{changed(angle)} SELECT row, col, round(ang, 6) AS ang, round(slope, 6) AS slope FROM dinf",
+        "area_dinf_oblong": f"{changed(shares)}, {mass} SELECT d.row, d.col, round(s.v, 5) AS value FROM dinf d LEFT JOIN (SELECT id, sum(v) AS v FROM mass GROUP BY id) s USING (id)",
+    }

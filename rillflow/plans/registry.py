@@ -773,6 +773,41 @@ def pit_remove_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direction.fill_pits(attribute(spark, sf_dir, "rough"), meta_of(spark, sf_dir), size=32)
 
 
+# ------------------------------------------- on cells of 30 by 20, some of them NULL
+
+
+def _oblong(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, G.GridMeta]:
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice")
+    gaps = spark.read.parquet(f"{sf_dir}/orders.parquet").where(price % 50 == 0).select(F.floor(key / float(COLS)).cast("int").alias("row"), F.pmod(key, F.lit(COLS)).cast("int").alias("col"), F.lit(True).alias("gap"))
+    dem = attribute(spark, sf_dir, "dem").join(gaps, ["row", "col"], "left")
+    return dem.select("row", "col", F.when(F.col("gap").isNull(), F.col("value")).alias("value")), meta_of(spark, sf_dir, 30.0, 20.0)
+
+
+@query()
+def d8_slope_dir_oblong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(direction.d8_first(*_oblong(spark, sf_dir)), "slope")
+
+
+@query()
+def grid_net_oblong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dem, meta = _oblong(spark, sf_dir)
+    p = direction.d8_first(dem, meta).select("row", "col", F.col("p").alias("value"))
+    return rounded(_nulls(flow.grid_net(p, meta), "plen", "tlen").select("row", "col", "plen", "tlen"), "plen", "tlen")
+
+
+@query()
+def dinf_flowdir_oblong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(direction.dinf_first(*_oblong(spark, sf_dir)), "ang", "slope")
+
+
+@query()
+def area_dinf_oblong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dem, meta = _oblong(spark, sf_dir)
+    ang = direction.dinf_first(dem, meta).select("row", "col", F.col("ang").alias("value"))
+    return flow.area_dinf(ang, meta, check=False).select("row", "col", F.round("value", 5).alias("value"))
+
+
+ORACLES |= oracles.oblong(_D8, _REACH, _ANGLE, _SHARES)
 ORACLES |= oracles.terrain(_CELLS, _STEPS, _D8, _REACH, _ANGLE, _SHARES, _VALLEY)
 ORACLES["pit_remove_tiled"] = ORACLES["pit_remove"]
 

@@ -211,7 +211,7 @@ def solve(cells: DataFrame, meta: GridMeta, kernel: Kernel, outputs: list[str],
         rim = edges.withColumn("tile", F.explode(F.array_remove(_touched(shape, meta), own))).select(number("tile").alias("t"), "row", "col", *exchanged)
         now = checkpointed(rim.groupBy("t").agg(F.sum(F.xxhash64("row", "col", *exchanged).cast("decimal(38,0)")).alias("h")))
         changed = now if seen is None else now.join(seen.withColumnRenamed("h", "was"), "t", "left").where("was is null or was <> h")
-        changed, seen = checkpointed(changed.select("t")), now
+        changed, seen = changed.select("t"), now
         some = [r["t"] for r in changed.limit(NAMED + 1).collect()]
         if not some:
             break

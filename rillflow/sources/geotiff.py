@@ -8,9 +8,10 @@ store works.  Writes one strip per row block, LZW by default.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.grid import DEFAULT_NODATA, GridMeta
+from ..plans.tiles import checkpointed
 
 # TIFF field types as struct codes, tags, and sample formats.
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -191,25 +193,24 @@ def read(spark: SparkSession, path: str, cast: str = "double") -> tuple[DataFram
     return found.select("row", "col", F.nanvl("value", F.lit(None)).cast(cast).alias("value")), meta
 
 
-def encoded(strips: list[np.ndarray], meta: GridMeta, dtype: str = "<f4", compress: str = "lzw") -> bytes:
-    """A TIFF file of strips of rows, from the top; NaN becomes nodata."""
+_PACKERS = {"lzw": lzw_encoded, "deflate": zlib.compress, "none": bytes}
+
+
+def frame_of(sizes: list[int], strip_rows: int, meta: GridMeta, dtype: str, compress: str) -> tuple[bytes, bytes]:
+    """What stands before and after the packed strips of these sizes in a TIFF file."""
     kind = np.dtype(dtype)
-    packed = []
-    for s in strips:
-        s = np.where(np.isnan(s.astype(float)), meta.nodata, s).astype(kind)
-        packed.append({"lzw": lzw_encoded, "deflate": zlib.compress, "none": bytes}[compress](s.tobytes()))
-    big = sum(map(len, packed)) > _BIG_BYTES
+    big = sum(sizes) > _BIG_BYTES
     word, width = ("Q", 16) if big else ("I", 4)
     at, offsets = (16 if big else 8), []
-    for p in packed:
+    for n in sizes:
         offsets.append(at)
-        at += len(p)
+        at += n
     nodata = f"{meta.nodata:.17g}\0".encode()
     form = {"u": 1, "i": 2, "f": 3}[kind.kind]
     keys = (1, 1, 0, 2, 1024, 0, 1, 2 if meta.geographic else 1, 1025, 0, 1, 1)
     entries = [
         (256, 4, (meta.ncols,)), (257, 4, (meta.nrows,)), (258, 3, (kind.itemsize * 8,)), (259, 3, ({"lzw": 5, "deflate": 8, "none": 1}[compress],)), (262, 3, (1,)), (273, width if big else 4, tuple(offsets)),
-        (277, 3, (1,)), (278, 4, (len(strips[0]) if strips else 1,)), (279, width if big else 4, tuple(map(len, packed))), (284, 3, (1,)), (339, 3, (form,)), (33550, 12, (meta.dx, meta.dy, 0.0)),
+        (277, 3, (1,)), (278, 4, (strip_rows,)), (279, width if big else 4, tuple(sizes)), (284, 3, (1,)), (339, 3, (form,)), (33550, 12, (meta.dx, meta.dy, 0.0)),
         (33922, 12, (0.0, 0.0, 0.0, meta.xleft, meta.ytop, 0.0)), (34735, 3, keys), (42113, 2, nodata),
     ]
     fixed, room = (20, 8) if big else (12, 4)
@@ -226,34 +227,65 @@ def encoded(strips: list[np.ndarray], meta: GridMeta, dtype: str = "<f4", compre
             extra += data + b"\0" * (len(data) % 2)
     table += struct.pack("<" + word, 0)
     lead = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
-    return lead + b"".join(packed) + table + extra
+    return lead, table + extra
+
+
+def strips_of(cells: DataFrame, meta: GridMeta, strip_rows: int, pack: Callable[[np.ndarray], bytes]) -> tuple[DataFrame, list[int], Callable[[int], bytes]]:
+    """strip and data of all strips with cells, packed by the tasks and written to the shared folder; the sizes of all strips; and what a strip without cells holds."""
+    ncols, nrows = meta.ncols, meta.nrows
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        top = int(key[0]) * strip_rows
+        a = np.full((min(strip_rows, nrows - top), ncols), np.nan)
+        a[rows["row"].to_numpy() - top, rows["col"].to_numpy()] = rows["value"].to_numpy(dtype=float, na_value=np.nan)
+        data = pack(a)
+        return pd.DataFrame({"strip": [int(key[0])], "size": [len(data)], "data": [data]})
+
+    strips = checkpointed(cells.withColumn("strip", F.floor(F.col("row") / strip_rows)).groupBy("strip").applyInPandas(run, "strip long, size long, data binary"))
+    size = {r["strip"]: r["size"] for r in strips.select("strip", "size").collect()}
+    blank = functools.cache(lambda rows: pack(np.full((rows, ncols), np.nan)))
+    missing = lambda k: blank(min(strip_rows, nrows - k * strip_rows))
+    return strips.select("strip", "data"), [size[k] if k in size else len(missing(k)) for k in range(-(-nrows // strip_rows))], missing
+
+
+def stream(spark: SparkSession, path: str, lead: bytes, strips: DataFrame, count: int, missing: Callable[[int], bytes], tail: bytes = b"") -> None:
+    """Writes lead, the strips in order and tail to a path; the driver holds one partition of strips at a time."""
+    out = _created(spark, path)
+    try:
+        out.write(bytearray(lead))
+        at = 0
+        for r in strips.orderBy("strip").toLocalIterator():
+            for k in range(at, r["strip"]):
+                out.write(bytearray(missing(k)))
+            out.write(bytearray(r["data"]))
+            at = r["strip"] + 1
+        for k in range(at, count):
+            out.write(bytearray(missing(k)))
+        out.write(bytearray(tail))
+    finally:
+        out.close()
 
 
 def write(cells: DataFrame, meta: GridMeta, path: str, dtype: str = "<f4", compress: str = "lzw", strip_rows: int = 64) -> None:
     """Writes cells (row, col, value) as one file at path (any store that Spark writes to).
 
-    Strips are packed by the tasks; the driver only puts packed strips together, so it
-    holds the compressed file and not the cells.
+    Strips are packed by the tasks; the driver learns their sizes and streams them into the file.
     """
-    ncols, nrows, nodata = meta.ncols, meta.nrows, meta.nodata
+    nodata, packer = meta.nodata, _PACKERS[compress]
+    strips, sizes, missing = strips_of(cells, meta, strip_rows, lambda a: packer(np.where(np.isnan(a), nodata, a).astype(dtype).tobytes()))
+    lead, tail = frame_of(sizes, strip_rows, meta, dtype, compress)
+    stream(cells.sparkSession, path, lead, strips, len(sizes), missing, tail)
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        top = int(key[0]) * strip_rows
-        a = np.full((min(strip_rows, nrows - top), ncols), np.nan)
-        a[rows["row"].to_numpy() - top, rows["col"].to_numpy()] = rows["value"].to_numpy(dtype=float, na_value=np.nan)
-        return pd.DataFrame({"strip": [int(key[0])], "data": [np.where(np.isnan(a), nodata, a).astype(dtype).tobytes()]})
 
-    strips = cells.withColumn("strip", F.floor(F.col("row") / strip_rows)).groupBy("strip").applyInPandas(pack, "strip long, data binary").collect()
-    have = {r["strip"]: np.frombuffer(bytes(r["data"]), dtype).reshape(-1, ncols).astype(float) for r in strips}
-    parts = [have.get(i, np.full((min(strip_rows, nrows - i * strip_rows), ncols), np.nan)) for i in range(-(-nrows // strip_rows))]
-    save(cells.sparkSession, path, encoded(parts, meta, dtype, compress))
+def _created(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf).create(place, True)
 
 
 def save(spark: SparkSession, path: str, data: bytes) -> None:
     """Writes bytes to a path of any Hadoop file system."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(conf).create(place, True)
+    out = _created(spark, path)
     try:
         out.write(bytearray(data))
     finally:

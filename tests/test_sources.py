@@ -46,6 +46,24 @@ def test_raw(spark, tmp_path, name):
     assert content(back) == content(df)
 
 
+def test_saga(spark, tmp_path):
+    df, meta = cells(spark).where("row <> 65"), GridMeta(70, 9, 30.0, 30.0, 100.0, 900.0, False, "", -9999.0)
+    rawgrid.write(df, meta, f"file://{tmp_path}/a.sdat")
+    back, found = rawgrid.read(spark, f"file://{tmp_path}/a.sdat")
+    assert found == meta and {k: v for k, v in content(back).items() if k[0] != 65} == content(df)
+    head, body = (tmp_path / "a.sgrd").read_text(), (tmp_path / "a.sdat").read_bytes()
+    (tmp_path / "b.sgrd").write_text(head.replace("TOPTOBOTTOM\t= TRUE", "TOPTOBOTTOM\t= FALSE"))
+    (tmp_path / "b.sdat").write_bytes(b"".join(body[k * 36 : k * 36 + 36] for k in range(69, -1, -1)))
+    assert content(rawgrid.read(spark, f"file://{tmp_path}/b.sdat")[0]) == content(back)
+
+
+def test_strips_without_cells(spark, tmp_path):
+    df = cells(spark).where("row between 20 and 25")
+    geotiff.write(df, META, f"file://{tmp_path}/a.tif", strip_rows=8)
+    back, _ = geotiff.read(spark, f"file://{tmp_path}/a.tif")
+    assert {k: v for k, v in content(back).items() if 20 <= k[0] <= 25} == content(df) and back.where("value is not null and not row between 20 and 25").count() == 0
+
+
 @pytest.mark.parametrize("ext", ["geojson", "kml", "shp"])
 def test_points(spark, tmp_path, ext):
     df = spark.createDataFrame([(7, 115.0, 885.0, "a"), (9, 145.0, 845.0, "b")], "id int, x double, y double, name string")
