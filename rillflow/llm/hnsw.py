@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: one hierarchical small-world graph per shard.
 
-Rows are dealt to shards of about `shard_rows` by a hash, so the graph of a
-shard fits one task whatever the input's size.  A shard's index is one row of
+Rows are dealt to shards by a hash.  Shards grow with the square root of the rows, from `shard_rows`
+on, up to what one task holds (MOST_ROWS, MOST_BYTES), as every query goes to every shard.  A shard's index is one row of
 flat arrays: distinct vectors, their ids, and per layer the node numbers and a
 padded neighbour array.  Graphs are built in batches with beam searches that
 run for all vectors of a batch at once.  Queries go to every shard in blocks;
@@ -14,7 +14,7 @@ k + 1 are kept, as no query can return another one.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part; nor does a null vec_id.  Repeated rows count once.  Vectors of different
-lengths never meet.  Results are ordered by score, ties by smaller vec_id.
+lengths never meet.  Components may be as large as doubles are; a score beyond them is infinite.  Results are ordered by score, ties by smaller vec_id.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text as T
 
-SHARD_ROWS = 8192
+SHARD_ROWS, MOST_ROWS, MOST_BYTES = 8192, 1 << 16, 128 << 20
 LINKS, EF_BUILD, EF_SEARCH, BATCH, QUERY_BLOCK = 16, 64, 192, 512, 512
 
 
@@ -183,6 +183,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, k: int) -> dict:
 
 def evened(vectors: np.ndarray) -> np.ndarray:
     """float32 vectors with one more component, all as long as the longest and scaled to 1."""
+    vectors = vectors / np.abs(vectors).max()  # lengths of any finite vectors are finite then
     length = np.linalg.norm(vectors, axis=1)
     most = length.max()
     rest = np.sqrt(np.maximum(0.0, 1 - (length / most) ** 2))
@@ -194,7 +195,8 @@ def search_shard(index: dict, dim: int, queries: np.ndarray, own: np.ndarray, k:
     vectors = np.frombuffer(index["vectors"], "<f8").reshape(-1, dim)
     ids, starts = np.frombuffer(index["ids"], "<i8"), np.frombuffer(index["starts"], "<i8")
     even = evened(vectors)
-    q = np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))]).astype(np.float32)
+    q = queries / np.abs(queries).max(axis=1, keepdims=True)
+    q = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(queries), 1))]).astype(np.float32)
     ef = max(EF_SEARCH, 4 * k)
     entries = np.zeros((len(q), 1), np.int64)
     for depth, (nodes, links) in enumerate(zip(index["nodes"], index["links"])):
@@ -231,9 +233,15 @@ def usable(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def rows_per_shard(n: int, dim: int, least: int = SHARD_ROWS) -> int:
+    """least up to 50,000 rows, then more by the square root of the rows"""
+    grown = least * max(1.0, (n / 50_000) ** 0.5)
+    return int(min(grown, MOST_ROWS, max(256, MOST_BYTES // (8 * dim))))
+
+
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, int]]:
     """The index, a row of flat arrays for each shard, and the number of shards of each length of vectors."""
-    shards = {r["dim"]: max(1, round(r["n"] / shard_rows)) for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    shards = {r["dim"]: max(1, round(r["n"] / rows_per_shard(r["n"], r["dim"], shard_rows))) for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     count = F.lit(1)
     for dim, n in shards.items():
         count = F.when(F.col("dim") == dim, F.lit(n)).otherwise(count)

@@ -245,6 +245,9 @@ def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["rank"]) for r in hnsw.nearest(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert hnsw.nearest(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e-5, 1e300]), (2, [1e-4, -1e300]), (3, [1e-6, 1e-300])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in hnsw.nearest(huge).orderBy("rank").collect()] == [2, 1, 3]
+    assert [hnsw.rows_per_shard(n, 64) for n in (100, 50_000, 200_000, 10**9)] == [8192, 8192, 16384, 65536] and hnsw.rows_per_shard(10**9, 16384) == 1024
 
 
 # ------------------------------------------------------------------------- chat
@@ -549,6 +552,74 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def plain_quality(model, text):
+    """The score from a frozen model, word by word."""
+    import math
+    import re
+
+    found = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^\s0-9A-Za-z\u0080-\U0010ffff]+", text)
+    buckets = [int(quality.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) for w in found]
+    v, dim = [[float(x) for x in model.vectors[b]] for b in buckets], quality.DIM
+    x = [0.0] * (2 * dim + 2)
+    for k in range(dim if v else 0):
+        x[k] = sum(r[k] for r in v) / len(v)
+        x[dim + k] = math.sqrt(max(sum(r[k] ** 2 for r in v) / len(v) - x[k] ** 2, 0))
+    if len(v) > 1:
+        x[2 * dim] = sum(sum(a * b for a, b in zip(p, q)) for p, q in zip(v, v[1:])) / (len(v) - 1)
+        x[2 * dim + 1] = sum(a == b for a, b in zip(buckets, buckets[1:])) / (len(v) - 1)
+    z = [(a - c) / s for a, c, s in zip(x, model.centre, model.scale)]
+    hidden = [math.tanh(sum(a * model.w1[i][h] for i, a in enumerate(z)) + model.b1[h]) for h in range(len(model.b1))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(hidden, model.w2)) + model.b2) / model.temperature))
+
+
+def plain_language(model, text):
+    """Language and score from a frozen model, gram by gram and pair by pair."""
+    import math
+
+    raw, buckets = [int(x) for x in langid._FOLD[np.frombuffer(text.encode(), np.uint8)]], []
+    for k in range(4):
+        for i in range(len(raw) - k):
+            code = raw[i] + 1
+            for j in range(1, k + 1):
+                code = (code * 257 + raw[i + j] + j + 1) & 0xFFFFFFFF
+            h = (code * 0x9E3779B1) & 0xFFFFFFFF
+            buckets.append((((h ^ (h >> 15)) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BITS))
+    z = [(sum(float(model.weights[b, c]) for b in buckets) / len(buckets) * float(langid.SCALE) + float(model.bias[c])) * float(model.scale[c]) for c in range(model.weights.shape[1])]
+    f = [z[c] for c in model.family_at] if len(model.families) > 1 else [0.0]
+    share = [math.exp(a - max(f)) / sum(math.exp(b - max(f)) for b in f) for a in f]
+    family = model.families[f.index(max(f))]
+    langs, votes, least = model.langs[family], {}, {}
+    for i, j, c in model.pairs[family]:
+        p = 1 / (1 + math.exp(-z[c]))
+        for k, won, q in ((i, z[c] >= 0, p), (j, z[c] < 0, 1 - p)):
+            votes[k], least[k] = votes.get(k, 0) + won, min(least.get(k, 1.0), q)
+    best = max(range(len(langs)), key=lambda k: (votes.get(k, 0), -k))
+    return langs[best], max(share) * least.get(best, 1.0)
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    rng = random.Random(61)
+    letters = {"en": "thewasor", "de": "schürein", "fr": "éauxloi", "es": "ciónños"}
+    rows = []
+    for i in range(240):
+        lang = list(letters)[i % 4]
+        words_ = ["".join(rng.choices(letters[lang], k=rng.randint(1, 6))) for _ in range(rng.randint(4, 30))]
+        rows.append((i, (" " if i % 3 else " | ").join(words_) + ".", lang))
+    rows += [(900, "x " * 60_000, "en"), (901, "thewas", "en"), (902, "A1b2!! c", None), (903, "né", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    model = quality.train(df, labels, F.col("doc_id") % 4 != 2)
+    for r in quality.score(df, model).collect():
+        if r["doc_id"] % 20 == 0 or r["doc_id"] > 900:
+            assert r["score"] == pytest.approx(plain_quality(model, dict((a, b) for a, b, _ in rows)[r["doc_id"]]), abs=1e-6)
+    model = langid.train(df, F.col("doc_id") % 4 != 2)
+    for r in langid.identify(df, model).collect():
+        if r["doc_id"] % 20 == 0 or r["doc_id"] > 900:
+            lang, score = plain_language(model, dict((a, b) for a, b, _ in rows)[r["doc_id"]])
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-5)
+    assert len(rows[240][1]) == 120_000
+
+
 # ------------------------------------------------------------------------- urls
 
 
