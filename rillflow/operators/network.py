@@ -114,27 +114,36 @@ def drop_statistics(p: DataFrame, dem: DataFrame, ssa: DataFrame, area: DataFram
     least, parts = min(thresholds), ("ord", "head", "len", "n1", "d1", "q1", "n2", "d2", "q2")
     flow.cells = flow.cells.where(F.col("ssa") >= least)
 
+    limits = np.array(thresholds, float)[:, None]
+
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        for i, limit in enumerate(thresholds):
-            on = q["ssa"][at] >= limit
-            order = strahler([(s[f"ord{i}"][j], w) for j, w in near])
-            head, length = q["z"][at].copy(), np.zeros(len(at))
-            passed = np.zeros(len(at), bool)
-            sums = {n: np.zeros(len(at)) for n in parts[3:]}
-            for k, (j, w) in enumerate(near, 1):
-                came = (w > 0) & ~np.isnan(s[f"ord{i}"][j])
-                length += np.where(came, q.length(k)[at], 0.0)
-                ends = came & (s[f"ord{i}"][j] < order)
-                drop = np.where(ends, s[f"head{i}"][j] - q["z"][at], 0.0)
-                for c, mine in ((1, ends & (s[f"ord{i}"][j] == 1)), (2, ends & (s[f"ord{i}"][j] > 1))):
-                    sums[f"n{c}"] += mine
-                    sums[f"d{c}"] += np.where(mine, drop, 0.0)
-                    sums[f"q{c}"] += np.where(mine, drop**2, 0.0)
-                goes_on = came & (s[f"ord{i}"][j] == order) & ~passed
-                head = np.where(goes_on, s[f"head{i}"][j], head)
-                passed |= goes_on
-            for n, v in ({"ord": order, "head": head, "len": length} | sums).items():
-                s[f"{n}{i}"][at] = np.where(on, v, np.nan)
+        if "blocks" not in s:  # one array with a row for each threshold; the outputs are its rows
+            s["blocks"] = {n: np.stack([s[f"{n}{i}"] for i in range(len(thresholds))]) for n in parts}
+            for n, block in s["blocks"].items():
+                s.update({f"{n}{i}": row for i, row in enumerate(block)})
+        orders, heads = s["blocks"]["ord"], s["blocks"]["head"]
+        on = q["ssa"][at] >= limits
+        order = strahler([(orders[:, j], w) for j, w in near])
+        head, length = np.broadcast_to(q["z"][at], on.shape).copy(), np.zeros(on.shape)
+        passed = np.zeros(on.shape, bool)
+        sums = {n: np.zeros(on.shape) for n in parts[3:]}
+        for k, (j, w) in enumerate(near, 1):
+            if not w.any():
+                continue
+            above = orders[:, j]
+            came = (w > 0) & ~np.isnan(above)
+            length += np.where(came, q.length(k)[at], 0.0)
+            ends = came & (above < order)
+            drop = np.where(ends, heads[:, j] - q["z"][at], 0.0)
+            for c, mine in ((1, ends & (above == 1)), (2, ends & (above > 1))):
+                sums[f"n{c}"] += mine
+                sums[f"d{c}"] += np.where(mine, drop, 0.0)
+                sums[f"q{c}"] += np.where(mine, drop**2, 0.0)
+            goes_on = came & (above == order) & ~passed
+            head = np.where(goes_on, heads[:, j], head)
+            passed |= goes_on
+        for n, v in ({"ord": order, "head": head, "len": length} | sums).items():
+            s["blocks"][n][:, at] = np.where(on, v, np.nan)
 
     found = flow.run([f"{n}{i}" for i in range(len(thresholds)) for n in parts], step)
     sums = found.agg(*(F.sum(F.nanvl(f"{n}{i}", F.lit(None))).alias(f"{n}{i}") for i in range(len(thresholds)) for n in parts[2:]))
