@@ -115,16 +115,27 @@ def _induced_singly(text: np.ndarray, letters: int, small: np.ndarray, lms: np.n
 
 
 def _induced(text: np.ndarray, letters: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, induced from the LMS suffixes in the given order."""
+    """All suffixes in order, induced from the LMS suffixes in the given order.
+
+    What a bucket holds when its turn comes induces at once; only what it induces into itself takes another turn.
+    """
+    text = text.astype(np.min_scalar_type(letters))  # short letters are sorted by radix
+    great = ~small
 
     def deal(to: list[list[np.ndarray]], at: np.ndarray) -> None:
+        if not len(at):
+            return
         c = text[at]
         order = np.argsort(c, kind="stable")
         at, c = at[order], c[order]
-        cut = np.flatnonzero(c[1:] != c[:-1]) + 1
-        for x in np.split(at, cut):
-            if len(x):
-                to[text[x[0]]].append(x)
+        cut = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(at)]
+        for i, j in zip(cut, cut[1:]):
+            to[c[i]].append(at[i:j])
+
+    def induce(to: list[list[np.ndarray]], at: np.ndarray, kind: np.ndarray) -> None:
+        before = at - 1
+        before = before[before >= 0]
+        deal(to, before[kind[before]])
 
     seeds: list[list[np.ndarray]] = [[] for _ in range(letters)]
     deal(seeds, lms)
@@ -132,26 +143,18 @@ def _induced(text: np.ndarray, letters: int, small: np.ndarray, lms: np.ndarray)
     for c in range(letters):
         k = 0
         while k < len(large[c]):
-            before = large[c][k] - 1
-            before = before[before >= 0]
-            deal(large, before[~small[before]])
-            k += 1
+            at, k = np.concatenate(large[c][k:]), len(large[c])
+            induce(large, at, great)
         for x in seeds[c]:
-            before = x - 1
-            before = before[before >= 0]
-            deal(large, before[~small[before]])
+            induce(large, x, great)
     tails: list[list[np.ndarray]] = [[] for _ in range(letters)]  # S-type, from right to left
     for c in range(letters - 1, -1, -1):
         k = 0
         while k < len(tails[c]):
-            before = tails[c][k] - 1
-            before = before[before >= 0]
-            deal(tails, before[small[before]])
-            k += 1
-        for x in reversed(large[c]):
-            before = x[::-1] - 1
-            before = before[before >= 0]
-            deal(tails, before[small[before]])
+            at, k = np.concatenate(tails[c][k:]), len(tails[c])
+            induce(tails, at, small)
+        if large[c]:
+            induce(tails, np.concatenate(large[c])[::-1], small)
     out = [np.array([len(text) - 1])]
     for c in range(letters):
         out += large[c]

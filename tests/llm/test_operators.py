@@ -361,6 +361,18 @@ def test_suffix_arrays():
             assert list(order) == sorted(range(len(t)), key=lambda i: list(t[i:]))
 
 
+def test_buckets_induce_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = np.append(rng.integers(1, 61, 20_000), 0)
+    text[500:520] = 7  # a bucket that induces into itself
+    calls, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: calls.append(1) or sort(*a, **b))
+    order = suffix_dedup.suffix_array(text, 61)
+    assert len(calls) < 20 * 61
+    raw = text.astype(">u2").tobytes()
+    assert list(order) == sorted(range(len(text)), key=lambda i: raw[2 * i :])
+
+
 # -------------------------------------------------------------------- near dedup
 
 
