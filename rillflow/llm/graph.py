@@ -1,19 +1,48 @@
-"""Connected components of an edge table, by alternating star contraction."""
+"""Connected components of an edge table: in one task while it is small, else by alternating star contraction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as T
 
+#: Distinct edges up to which one task takes all of them (some 30 MB there); a round of joins costs the driver ten stages.
+IN_ONE_TASK = 1 << 18
+
+
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges (a, b), sorted, and the smallest node of the component of each."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    to = np.arange(len(nodes))
+    while len(apart := np.flatnonzero(to[a] != to[b])):
+        a, b = a[apart], b[apart]
+        x, y = to[a], to[b]
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to[to] != to).any():
+            to = to[to]
+    return nodes, nodes[to]
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, rounds: int = 60, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """node and comp (the smallest node of its component) of every node in edges (a, b: longs).
 
-    Each round makes every node's larger neighbours, then its smaller ones, point to
-    the smallest; it ends when nothing changes, after about log(nodes) rounds.
+    More edges than in_one_task go through rounds: each makes every node's larger neighbours, then
+    its smaller ones, point to the smallest; it ends when nothing changes, after about log(nodes) rounds.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if len(b)]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in least_nodes(*map(np.concatenate, zip(*pairs)))], ["node", "comp"])
+
     e = T.checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if e.count() <= in_one_task:
+        return e.coalesce(1).mapInArrow(run, "node long, comp long")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
