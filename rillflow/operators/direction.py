@@ -32,30 +32,37 @@ def fill_pits(dem: DataFrame, meta: GridMeta, four_way: bool = False, kept: Data
     def kernel(p: Patch) -> dict[str, np.ndarray]:
         z = p["z"]
         valid = p.exists & ~np.isnan(z)
-        outlet = np.zeros(len(z), bool)
-        for k in steps:
-            outlet |= ~p.shifted(valid, k, False)
-        # the grid's edge is an outlet in either mode
-        at = np.arange(len(z))
-        row, col = at // p.width + p.row0 - 1, at % p.width + p.col0 - 1
-        outlet |= (row == 0) | (col == 0) | (row == meta.nrows - 1) | (col == meta.ncols - 1)
-        if masked:
-            outlet |= p["kept"] == 1
-        level = np.where(valid & outlet & p.inside, z, np.inf)
-        rim = p.rim["w"]
-        level = np.where(~np.isnan(rim) & ~p.inside, rim, level)
-        _flood(p, z, valid, level, steps)
+        if "level" not in p.memo:
+            outlet = np.zeros(len(z), bool)
+            for k in steps:
+                outlet |= ~p.shifted(valid, k, False)
+            # the grid's edge is an outlet in either mode
+            at = np.arange(len(z))
+            row, col = at // p.width + p.row0 - 1, at % p.width + p.col0 - 1
+            outlet |= (row == 0) | (col == 0) | (row == meta.nrows - 1) | (col == meta.ncols - 1)
+            if masked:
+                outlet |= p["kept"] == 1
+            p.memo["level"] = np.where(valid & outlet & p.inside, z, np.inf)
+            start = p.memo["level"] < np.inf
+        else:
+            start = np.zeros(len(z), bool)
+        # levels only fall, so a later run goes on from the cells of the rim that are lower
+        level, rim = p.memo["level"], p.rim["w"]
+        lower = ~p.inside & (rim < level)
+        level[lower] = rim[lower]
+        _flood(p, z, valid, level, steps, np.flatnonzero(start | lower))
         return {"w": np.where(valid & p.inside & np.isfinite(level), level, np.where(valid & p.inside, np.inf, np.nan))}
 
     return solve(cells, meta, kernel, ["w"], ["w"], size).select("row", "col", F.col("w").alias("value"))
 
 
-def _flood(p: Patch, z: np.ndarray, valid: np.ndarray, level: np.ndarray, steps) -> None:
-    """Priority flood in place: level becomes max(z, least neighbouring level) where that is lower."""
+def _flood(p: Patch, z: np.ndarray, valid: np.ndarray, level: np.ndarray, steps, start: np.ndarray) -> None:
+    """Priority flood from start in place: level becomes max(z, least neighbouring level) where that is lower."""
     import heapq
 
-    ring = level.copy()
-    heap = [(float(ring[i]), int(i)) for i in np.flatnonzero(np.isfinite(ring))]
+    if not len(start):
+        return
+    heap = list(zip(level[start].tolist(), start.tolist()))
     heapq.heapify(heap)
     offsets = [p.offsets[k - 1] for k in steps]
     open_cell = (valid & p.inside).tolist()

@@ -17,11 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.grid import STEPS, GridMeta
-from ..plans.tiles import TILE, Patch, solve, sweep
+from ..plans.tiles import TILE, Near, Patch, solve, sweep
 from .local import PI
 
 Sources = list[np.ndarray]
-Near = list[tuple[np.ndarray, np.ndarray]]
 
 
 def _cells(**grids: DataFrame | None) -> DataFrame:
@@ -67,9 +66,9 @@ def receivers_dinf(p: Patch, name: str = "ang") -> Sources:
 
 
 def upstream_of(cells: DataFrame, outlets: DataFrame | None, meta: GridMeta, receivers: Callable[[Patch], Sources], direction: str, size: int) -> DataFrame:
-    """cells with use: 1 where flow reaches one of outlets (row, col) that has a direction; all cells without outlets."""
+    """cells with use: 1 where flow reaches one of outlets (row, col) that has a direction; cells as they are without outlets."""
     if outlets is None:
-        return cells.withColumn("use", F.lit(1.0))
+        return cells
     marked = cells.join(outlets.select("row", "col").distinct().withColumn("outlet", F.lit(1.0)), ["row", "col"], "left")
 
     def kernel(p: Patch) -> dict[str, np.ndarray]:
@@ -109,56 +108,75 @@ class Flow:
         self.donors, self.receivers = (donors_d8, receivers_d8) if d8 else (donors_dinf, receivers_dinf)
         self.cells = upstream_of(cells, outlets, meta, self.receivers, direction, size)
 
-    def run(self, outputs: list[str], step: Callable[[Patch, dict[str, np.ndarray], np.ndarray, Near], None], links: Callable[[Patch, Sources], Sources] | None = None, seeds: Callable[[Patch, dict[str, np.ndarray]], np.ndarray] | None = None) -> DataFrame:
-        """Evaluates step; links may drop sources, seeds sets values of cells that need none (returned as a mask)."""
+    def run(self, outputs: list[str], step: Callable[[Patch, dict[str, np.ndarray], np.ndarray, Near], None], links: Callable[[Patch, Sources], Sources] | None = None, seeds: Callable[[Patch, dict[str, np.ndarray]], np.ndarray] | None = None, summary: tuple[Callable[[Patch, Sources, dict[str, np.ndarray]], dict[str, float]], list[str]] | None = None) -> DataFrame:
+        """Evaluates step; links may drop sources, seeds sets values of cells that need none (returned as a mask).
+
+        summary: (f, names) gives a row for each tile instead, of what f makes of its sources and final state.
+        """
         check, upstream, direction, near_by = self.check, self.upstream, self.direction, self.donors if self.upstream else self.receivers
 
-        def kernel(p: Patch) -> dict[str, np.ndarray]:
-            state = {o: np.where(p.inside, np.nan, p.rim[o]) for o in outputs} | {"done": np.where(p.inside, np.nan, p.rim["done"])}
+        def linked(p: Patch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             sources = near_by(p)
             if links:
                 sources = links(p, sources)
             valid = p.exists & ~np.isnan(p[direction])
-            used = np.where(np.isnan(p["use"]), 0, p["use"]) == 1
-            for k in range(1, 9):
-                sources[k - 1] = np.where(p.shifted(valid & used, k, False), sources[k - 1], 0.0) if upstream else np.where(p.shifted(p.exists, k, False), sources[k - 1], 0.0)
-            take = valid & p.inside & used
-            known = ~p.inside & ~np.isnan(p.rim["done"])
+            used = valid & (p["use"] == 1) if "use" in p.values else valid
+            near = used if upstream else p.exists
+            return np.stack([np.where(p.shifted(near, k, False), sources[k - 1], 0.0) for k in range(1, 9)]), valid, used
+
+        def kernel(p: Patch) -> dict[str, np.ndarray]:
+            state = p.rim  # what neighbours tell stands on the rim of the same arrays
+            sources, valid, used = linked(p)
+            take = used & p.inside
+            known = ~p.inside & ~np.isnan(state["done"])
             # cells without a direction hold nothing and keep nobody waiting
             known |= p.exists & ~valid
             if seeds:
-                seeded = seeds(p, state) & p.inside
-                known |= seeded
-                state["done"][seeded] = 1.0
-                take &= ~seeded
-            bare = p.bare(direction) if check and upstream else np.zeros(len(take), bool)
+                if "seeded" not in p.memo:
+                    p.memo["seeded"] = seeds(p, state) & p.inside
+                    state["done"][p.memo["seeded"]] = 1.0
+                known |= p.memo["seeded"]
+                take &= ~p.memo["seeded"]
+            bare = p.bare(direction) if check and upstream else None
 
             def front(at: np.ndarray, near: Near) -> None:
                 step(p, state, at, near)
                 state["done"][at] = 1.0
                 if check and upstream:
-                    bad = bare[at]
-                    for j, w in near:
-                        bad |= (w > 0) & np.isnan(state[outputs[0]][j])
+                    bad = bare[at] | ((near.w > 0) & np.isnan(state[outputs[0]][near.j])).any(axis=0)
                     for o in outputs:
                         state[o][at[bad]] = np.nan
 
             with np.errstate(invalid="ignore", divide="ignore"):
                 sweep(p, sources, take, known, front)
-            return {o: np.where(p.inside, state[o], np.nan) for o in outputs} | {"done": np.where(p.inside, state["done"], np.nan)}
+            return state
 
-        return solve(self.cells, self.meta, kernel, [*outputs, "done"], ["done", *outputs], self.size).drop("done")
+        def totals(p: Patch, found: dict[str, np.ndarray]) -> dict[str, float]:
+            return summary[0](p, linked(p)[0], found)
+
+        return solve(self.cells, self.meta, kernel, outputs, ["done", *outputs], self.size, summary=(totals, summary[1]) if summary else None)
 
 
 def _total(state: np.ndarray, near: Near, scale: np.ndarray | None = None) -> np.ndarray:
     """Sum of weight times state over sources (NULL sources give nothing)."""
+    v = state[near.j] if scale is None else state[near.j] * scale[near.j]
+    return _added(np.where((near.w > 0) & ~np.isnan(v), near.w * v, 0.0))
+
+
+def _added(rows: np.ndarray) -> np.ndarray:
+    """Sum of rows, one after the other, so that it does not depend on how many cells a front has."""
     out = 0.0
-    for j, w in near:
-        v = state[j] if scale is None else state[j] * scale[j]
-        out = out + np.where((w > 0) & ~np.isnan(v), w * v, 0.0)
+    for row in rows:
+        out = out + row
     return out
 
 
+def _only(state: np.ndarray, near: Near, rest: np.ndarray) -> np.ndarray:
+    """State of the receiver (there is at most one), rest where there is none."""
+    k, n = (near.w > 0).argmax(axis=0), np.arange(near.w.shape[1])
+    return np.where(near.w[k, n] > 0, state[near.j[k, n]], rest)
+
+
 def _named(df: DataFrame, name: str) -> DataFrame:
     return df.select("row", "col", F.nanvl(name, F.lit(None)).alias("value"))
 
@@ -183,10 +201,7 @@ def extreme_up(p: DataFrame, values: DataFrame, meta: GridMeta, largest: bool =
     pick = np.fmax if largest else np.fmin
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        best = q["a"][at]
-        for j, w in near:
-            best = np.where(w > 0, pick(best, s["v"][j]), best)
-        s["v"][at] = best
+        s["v"][at] = pick(q["a"][at], pick.reduce(np.where(near.w > 0, s["v"][near.j], np.nan)))
 
     return _named(Flow(_cells(p=p, a=values), meta, "p", outlets=outlets, check=check, size=size).run(["v"], step), "v")
 
@@ -195,24 +210,18 @@ def condition(p: DataFrame, dem: DataFrame, meta: GridMeta, size: int = TILE) ->
     """Each cell lowered to the lowest cell upstream; cells without a direction keep their height."""
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        best = q["z"][at]
-        for j, w in near:
-            best = np.where(w > 0, np.fmin(best, s["v"][j]), best)
-        s["v"][at] = best
+        s["v"][at] = np.fmin(q["z"][at], np.fmin.reduce(np.where(near.w > 0, s["v"][near.j], np.nan)))
 
     cells = _cells(p=p, z=dem)
     found = Flow(cells, meta, "p", size=size).run(["v"], step)
     return cells.join(found, ["row", "col"]).select("row", "col", F.coalesce(F.nanvl("v", F.lit(None)), "z").alias("value"))
 
 
-def strahler(orders: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Order of cells from (order, weight) of their sources: the largest, or one more if two sources have it."""
-    top, second = 0.0, 0.0
-    for o, w in orders:
-        o = np.where((w > 0) & ~np.isnan(o), o, 0.0)
-        second = np.maximum(second, np.minimum(top, o))
-        top = np.maximum(top, o)
-    return np.maximum(np.maximum(top, second + 1), 1.0)
+def strahler(orders: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Order of cells from the orders and weights (in eight rows) of their sources: the largest, or one more if two sources have it."""
+    o = np.where((weights > 0) & ~np.isnan(orders), orders, 0.0)
+    o.sort(axis=-2)
+    return np.maximum(np.maximum(o[..., -1, :], o[..., -2, :] + 1), 1.0)
 
 
 def grid_net(p: DataFrame, meta: GridMeta, mask: DataFrame | None = None, limit: float = 0.0, outlets: DataFrame | None = None, size: int = TILE) -> DataFrame:
@@ -222,14 +231,11 @@ def grid_net(p: DataFrame, meta: GridMeta, mask: DataFrame | None = None, limit:
         cells = cells.withColumn("p", F.when(F.col("mask") >= limit, F.col("p")))
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        longest, total = np.zeros(len(at)), np.zeros(len(at))
-        for k, (j, w) in enumerate(near, 1):
-            d = q.length(k)[at]
-            ok = (w > 0) & ~np.isnan(s["plen"][j])
-            longest = np.where(ok, np.maximum(longest, s["plen"][j] + d), longest)
-            total = np.where(ok, total + s["tlen"][j] + d, total)
-        s["plen"][at], s["tlen"][at] = longest, total
-        s["gord"][at] = strahler([(s["gord"][j], w) for j, w in near])
+        d, plen = q.lengths(at), s["plen"][near.j]
+        ok = (near.w > 0) & ~np.isnan(plen)
+        s["plen"][at] = np.where(ok, plen + d, 0.0).max(axis=0)
+        s["tlen"][at] = _added(np.where(ok, s["tlen"][near.j] + d, 0.0))
+        s["gord"][at] = strahler(s["gord"][near.j], near.w)
 
     return Flow(cells, meta, "p", outlets=outlets, size=size).run(["plen", "tlen", "gord"], step)
 
@@ -237,27 +243,26 @@ def grid_net(p: DataFrame, meta: GridMeta, mask: DataFrame | None = None, limit:
 # -------------------------------------------------------------- D8, downstream
 
 
-def _down_d8(cells: DataFrame, meta: GridMeta, limit: float, more: Callable[[Patch, np.ndarray, np.ndarray, int], np.ndarray], size: int) -> DataFrame:
+def _down_d8(cells: DataFrame, meta: GridMeta, limit: float, more: Callable[[Patch, np.ndarray, np.ndarray], np.ndarray], size: int) -> DataFrame:
     def seeds(q: Patch, s: dict) -> np.ndarray:
         on = q.exists & (q["src"] >= limit) & ~np.isnan(q["p"])
         s["v"][on & q.inside] = 0.0
         return on
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        for k, (j, w) in enumerate(near, 1):
-            s["v"][at] = np.where(w > 0, s["v"][j] + more(q, at, j, k), s["v"][at])
+        s["v"][at] = np.fmax.reduce(np.where(near.w > 0, s["v"][near.j] + more(q, at, near.j), np.nan))  # there is one receiver
 
     return _named(Flow(cells, meta, "p", upstream=False, size=size).run(["v"], step, seeds=seeds), "v")
 
 
 def hdist_d8(p: DataFrame, stream: DataFrame, meta: GridMeta, limit: float = 1.0, size: int = TILE) -> DataFrame:
     """Distance along flow to the first cell whose stream value reaches limit; NULL if there is none."""
-    return _down_d8(_cells(p=p, src=stream), meta, limit, lambda q, at, j, k: q.length(k)[at], size)
+    return _down_d8(_cells(p=p, src=stream), meta, limit, lambda q, at, j: q.lengths(at), size)
 
 
 def vdist_d8(p: DataFrame, dem: DataFrame, stream: DataFrame, meta: GridMeta, limit: float = 1.0, size: int = TILE) -> DataFrame:
     """Drop along flow to the first stream cell."""
-    return _down_d8(_cells(p=p, z=dem, src=stream), meta, limit, lambda q, at, j, k: q["z"][at] - q["z"][j], size)
+    return _down_d8(_cells(p=p, z=dem, src=stream), meta, limit, lambda q, at, j: q["z"][at] - q["z"][j], size)
 
 
 def slope_ave_down(p: DataFrame, dem: DataFrame, meta: GridMeta, dn: float = 50.0, size: int = TILE) -> DataFrame:
@@ -381,18 +386,15 @@ def avalanche(ang: DataFrame, dem: DataFrame, source: DataFrame, meta: GridMeta,
         return on
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        best = np.full(len(at), -np.inf)
         r, c = place(q, at)
-        found = {n: np.full(len(at), np.nan) for n in ("rz", "dm", "sr", "sc", "sz")}
-        for k, (j, w) in enumerate(near, 1):
-            path = s["dm"][j] + q.length(k)[at] if not direct else np.hypot((s["sr"][j] - r) * q.dy[at], (s["sc"][j] - c) * q.dx[at])
-            beta = np.degrees(np.arctan((s["sz"][j] - q["z"][at]) / path))
-            take = (w > 0) & (s["rz"][j] >= alpha) & (beta >= alpha) & (beta > best)
-            best = np.where(take, beta, best)
-            for n, v in (("rz", beta), ("dm", path), ("sr", s["sr"][j]), ("sc", s["sc"][j]), ("sz", s["sz"][j])):
-                found[n] = np.where(take, v, found[n])
-        for n, v in found.items():
-            s[n][at] = v
+        came = {n: s[n][near.j] for n in ("dm", "sr", "sc", "sz")}
+        path = came["dm"] + q.lengths(at) if not direct else np.hypot((came["sr"] - r) * q.dy[at], (came["sc"] - c) * q.dx[at])
+        beta = np.degrees(np.arctan((came["sz"] - q["z"][at]) / path))
+        take = (near.w > 0) & (s["rz"][near.j] >= alpha) & (beta >= alpha)
+        k, n = np.where(take, beta, -np.inf).argmax(axis=0), np.arange(len(at))
+        some = take[k, n]
+        for name, v in (came | {"rz": beta, "dm": path}).items():
+            s[name][at] = np.where(some, v[k, n], np.nan)
 
     flow = Flow(_cells(ang=ang, z=dem, ass=source), meta, "ang", size=size)
     return flow.run(["rz", "dm", "sr", "sc", "sz"], step, links, seeds).select("row", "col", F.nanvl("rz", F.lit(None)).alias("rz"), F.nanvl("dm", F.lit(None)).alias("dm"))
@@ -406,10 +408,7 @@ def rev_accum(ang: DataFrame, weight: DataFrame, meta: GridMeta, size: int = TIL
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
         s["racc"][at] = q["w"][at] + _total(s["racc"], near)
-        best = q["w"][at]
-        for j, w in near:
-            best = np.where(w > 0, np.fmax(best, s["dmax"][j]), best)
-        s["dmax"][at] = best
+        s["dmax"][at] = np.fmax(q["w"][at], np.fmax.reduce(np.where(near.w > 0, s["dmax"][near.j], np.nan)))
 
     return Flow(_cells(ang=ang, w=weight), meta, "ang", upstream=False, size=size).run(["racc", "dmax"], step)
 
@@ -423,80 +422,87 @@ def up_dependence(ang: DataFrame, target: DataFrame, meta: GridMeta, size: int =
     return _named(Flow(_cells(ang=ang, dg=target), meta, "ang", upstream=False, size=size).run(["v"], step), "v")
 
 
-def _gather(stat: str, values: list[tuple[np.ndarray, np.ndarray]], zero_start: bool = False) -> np.ndarray:
-    """Average (by weight), largest or smallest of values; NaN without any."""
-    total = weight = 0.0
-    best = None
-    for v, w in values:
-        ok = w > 0
-        total = total + np.where(ok, w * v, 0.0)
-        weight = weight + np.where(ok, w, 0.0)
-        v = np.where(ok, v, np.nan)
-        best = v if best is None else (np.fmax if stat == "max" else np.fmin)(best, v)
+def _gather(stat: str, values: np.ndarray, weights: np.ndarray, zero_start: bool = False) -> np.ndarray:
+    """Average (by weight), largest or smallest of values, in eight rows; NaN without any."""
+    ok = weights > 0
     if stat == "ave":
-        return total / np.where(weight > 0, weight, np.nan)
-    return np.where(weight > 0, np.fmax(best, 0.0), np.nan) if zero_start and stat == "max" else best
+        weight = _added(np.where(ok, weights, 0.0))
+        return _added(np.where(ok, weights * values, 0.0)) / np.where(weight > 0, weight, np.nan)
+    best = (np.fmax if stat == "max" else np.fmin).reduce(np.where(ok, values, np.nan))
+    return np.where(ok.any(axis=0), np.fmax(best, 0.0), np.nan) if zero_start and stat == "max" else best
 
 
-def _steps(kind: str, q: Patch, at: np.ndarray, j: np.ndarray, k: int, weighted: bool) -> dict[str, np.ndarray]:
-    """Increments of the horizontal, vertical and surface length of a step."""
-    flat = q.length(k)[at] * (q["w"][at] if weighted else 1.0)
-    if kind == "h":
-        return {"h": flat}
+def _steps(q: Patch, at: np.ndarray, j: np.ndarray, weighted: bool) -> dict[str, np.ndarray]:
+    """Increments of the horizontal, vertical (for v and for p) and surface length of the eight steps."""
+    flat = q.lengths(at) * (q["w"][at] if weighted else 1.0)
     drop = np.abs(q["z"][at] - q["z"][j])
-    return {"h": flat, "v": drop, "s": np.hypot(flat, drop)}
+    return {"h": flat, "v": drop, "q": drop, "s": np.hypot(flat, drop)}
 
 
-_PARTS = {"h": ("h",), "v": ("v",), "p": ("h", "v"), "s": ("s",)}
+#: What each kind of distance is made of: horizontal h, vertical v, or q where h leads, and surface s.
+_PARTS = {"h": ("h",), "v": ("v",), "p": ("h", "q"), "s": ("s",)}
 
 
-def dist_down(ang: DataFrame, dem: DataFrame, stream: DataFrame, meta: GridMeta, kind: str = "h", stat: str = "ave", weight: DataFrame | None = None, check: bool = True, size: int = TILE) -> DataFrame:
-    """Distance down to stream cells (1 or more): horizontal h, vertical v, straight p or along the surface s; ave, max or min over the ways.
+class _Distances:
+    """The states kept for kinds and stats, named by part and stat, and the values made of them."""
 
-    NULL where no way leads to a stream, or, with check, where one of them does not.
-    """
-    parts = _PARTS[kind]
+    def __init__(self, kinds: str, stats: tuple[str, ...]):
+        self.kinds, self.stats = kinds, stats
+        parts = dict.fromkeys(n for kind in kinds for n in _PARTS[kind])
+        self.names = [f"{n}_{stat}" for stat in stats for n in parts]
+
+    def step(self, q: Patch, s: dict, at: np.ndarray, near: Near, weighted: bool, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        moves = _steps(q, at, near.j, weighted)
+        for name in self.names:
+            n, _, stat = name.partition("_")
+            came = s[name][near.j]
+            found = _gather(stat, came + moves[n], np.where(np.isnan(came), 0.0, near.w), n == "h")
+            s[name][at] = close(found, s[f"h_{stat}"][near.j] if n == "q" else came)
+
+    def values(self, found: DataFrame) -> DataFrame:
+        """row, col and a column kind_stat for each distance."""
+        value = lambda k, s: F.sqrt(F.col(f"h_{s}") * F.col(f"h_{s}") + F.col(f"q_{s}") * F.col(f"q_{s}")) if k == "p" else F.col(f"{k}_{s}")
+        return found.select("row", "col", *(F.nanvl(value(k, s), F.lit(None)).alias(f"{k}_{s}") for k in self.kinds for s in self.stats))
 
-    weighted = weight is not None
+
+def distances_down(ang: DataFrame, dem: DataFrame, stream: DataFrame, meta: GridMeta, kinds: str = "hvps", stats: tuple[str, ...] = ("ave", "max", "min"), weight: DataFrame | None = None, check: bool = True, size: int = TILE) -> DataFrame:
+    """row, col and a column kind_stat for each of dist_down's distances, in one evaluation."""
+    d, weighted = _Distances(kinds, stats), weight is not None
 
     def seeds(q: Patch, s: dict) -> np.ndarray:
         on = q.exists & (q["src"] >= 1) & q.inside & ~np.isnan(q["ang"])
-        for n in parts:
+        for n in d.names:
             s[n][on] = 0.0
         return on
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        moves = [_steps(kind, q, at, j, k, weighted) for k, (j, _) in enumerate(near, 1)]
-        lost = np.zeros(len(at), bool)
-        for j, w in near:
-            lost |= (w > 0) & np.isnan(s[parts[0]][j])
-        for n in parts:
-            found = _gather(stat, [(s[n][j] + m[n], np.where(np.isnan(s[n][j]), 0.0, w)) for (j, w), m in zip(near, moves)], n == "h")
-            s[n][at] = np.where(lost, np.nan, found) if check else found
+        d.step(q, s, at, near, weighted, lambda found, led: np.where(((near.w > 0) & np.isnan(led)).any(axis=0), np.nan, found) if check else found)
 
-    found = Flow(_cells(ang=ang, z=dem, src=stream, w=weight), meta, "ang", upstream=False, size=size).run(list(parts), step, seeds=seeds)
-    value = F.sqrt(F.col("h") * F.col("h") + F.col("v") * F.col("v")) if kind == "p" else F.col(parts[0])
-    return _named(found.withColumn("x", value), "x")
+    return d.values(Flow(_cells(ang=ang, z=dem, src=stream, w=weight), meta, "ang", upstream=False, size=size).run(d.names, step, seeds=seeds))
 
 
-def dist_up(ang: DataFrame, dem: DataFrame, meta: GridMeta, kind: str = "h", stat: str = "ave", weight: DataFrame | None = None, thresh: float = 0.0, check: bool = True, size: int = TILE) -> DataFrame:
-    """Distance up to the ridge over donors whose share is over thresh; ridge cells are 0."""
-    parts = _PARTS[kind]
+def dist_down(ang: DataFrame, dem: DataFrame, stream: DataFrame, meta: GridMeta, kind: str = "h", stat: str = "ave", weight: DataFrame | None = None, check: bool = True, size: int = TILE) -> DataFrame:
+    """Distance down to stream cells (1 or more): horizontal h, vertical v, straight p or along the surface s; ave, max or min over the ways.
 
-    weighted = weight is not None
+    NULL where no way leads to a stream, or, with check, where one of them does not.
+    """
+    return distances_down(ang, dem, stream, meta, kind, (stat,), weight, check, size).select("row", "col", F.col(f"{kind}_{stat}").alias("value"))
+
+
+def distances_up(ang: DataFrame, dem: DataFrame, meta: GridMeta, kinds: str = "hvps", stats: tuple[str, ...] = ("ave", "max", "min"), weight: DataFrame | None = None, thresh: float = 0.0, check: bool = True, size: int = TILE) -> DataFrame:
+    """row, col and a column kind_stat for each of dist_up's distances, in one evaluation."""
+    d, weighted = _Distances(kinds, stats), weight is not None
 
     def links(q: Patch, sources: Sources) -> Sources:
         return [np.where(w > thresh, w, 0.0) for w in sources]
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        moves = [_steps(kind, q, at, j, k, weighted) for k, (j, _) in enumerate(near, 1)]
-        some = np.zeros(len(at), bool)
-        for _, w in near:
-            some |= w > 0
-        for n in parts:
-            found = _gather(stat, [(s[n][j] + m[n], np.where(np.isnan(s[n][j]), 0.0, w)) for (j, w), m in zip(near, moves)], n == "h")
-            s[n][at] = np.where(some, found, 0.0)
-
-    found = Flow(_cells(ang=ang, z=dem, w=weight), meta, "ang", check=check, size=size).run(list(parts), step, links)
-    value = F.sqrt(F.col("h") * F.col("h") + F.col("v") * F.col("v")) if kind == "p" else F.col(parts[0])
-    return _named(found.withColumn("x", value), "x")
+        some = (near.w > 0).any(axis=0)
+        d.step(q, s, at, near, weighted, lambda found, led: np.where(some, found, 0.0))
+
+    return d.values(Flow(_cells(ang=ang, z=dem, w=weight), meta, "ang", check=check, size=size).run(d.names, step, links))
+
+
+def dist_up(ang: DataFrame, dem: DataFrame, meta: GridMeta, kind: str = "h", stat: str = "ave", weight: DataFrame | None = None, thresh: float = 0.0, check: bool = True, size: int = TILE) -> DataFrame:
+    """Distance up to the ridge over donors whose share is over thresh; ridge cells are 0."""
+    return distances_up(ang, dem, meta, kind, (stat,), weight, thresh, check, size).select("row", "col", F.col(f"{kind}_{stat}").alias("value"))

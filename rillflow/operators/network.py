@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.grid import GridMeta, neighbours, place_of
 from ..plans.paths import follow, receivers
-from ..plans.tiles import TILE, Patch, checkpointed
-from .flow import Flow, Near, _cells, area_d8, strahler
+from ..plans.tiles import TILE, Near, Patch, checkpointed
+from .flow import Flow, _cells, _only, area_d8, strahler
 
 
 def numbered(df: DataFrame, columns: list, name: str) -> DataFrame:
@@ -37,8 +37,7 @@ def gage_watershed(p: DataFrame, gages: DataFrame, meta: GridMeta, size: int = T
         return on
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        for j, w in near:
-            s["v"][at] = np.where(w > 0, s["v"][j], s["v"][at])
+        s["v"][at] = _only(s["v"], near, s["v"][at])
 
     found = Flow(cells, meta, "p", upstream=False, size=size).run(["v"], step, seeds=seeds)
     return found.select("row", "col", F.nanvl("v", F.lit(None)).cast(gages.schema["id"].dataType).alias("value"))
@@ -111,43 +110,42 @@ def drop_statistics(p: DataFrame, dem: DataFrame, ssa: DataFrame, area: DataFram
     """
     flow = Flow(_cells(p=p, z=dem, ssa=ssa), meta, "p", outlets=outlets, size=size)
     # all thresholds are evaluated at once, on the cells that are streams at the least of them
-    least, parts = min(thresholds), ("ord", "head", "len", "n1", "d1", "q1", "n2", "d2", "q2")
-    flow.cells = flow.cells.where(F.col("ssa") >= least)
-
-    limits = np.array(thresholds, float)[:, None]
+    flow.cells = flow.cells.where(F.col("ssa") >= min(thresholds))
+    n, limits, parts = len(thresholds), np.array(thresholds, float)[:, None], ("len", "n1", "d1", "q1", "n2", "d2", "q2")
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        if "blocks" not in s:  # one array with a row for each threshold; the outputs are its rows
-            s["blocks"] = {n: np.stack([s[f"{n}{i}"] for i in range(len(thresholds))]) for n in parts}
-            for n, block in s["blocks"].items():
-                s.update({f"{n}{i}": row for i, row in enumerate(block)})
-        orders, heads = s["blocks"]["ord"], s["blocks"]["head"]
+        orders, heads = q.rims[1 : n + 1], q.rims[n + 1 :]  # a row for each threshold; done comes first
         on = q["ssa"][at] >= limits
-        order = strahler([(orders[:, j], w) for j, w in near])
-        head, length = np.broadcast_to(q["z"][at], on.shape).copy(), np.zeros(on.shape)
-        passed = np.zeros(on.shape, bool)
-        sums = {n: np.zeros(on.shape) for n in parts[3:]}
-        for k, (j, w) in enumerate(near, 1):
-            if not w.any():
-                continue
-            above = orders[:, j]
-            came = (w > 0) & ~np.isnan(above)
-            length += np.where(came, q.length(k)[at], 0.0)
-            ends = came & (above < order)
-            drop = np.where(ends, heads[:, j] - q["z"][at], 0.0)
+        above = orders[:, near.j]
+        order = strahler(above, near.w)
+        # the stream goes on from the first source of its order
+        goes_on = (near.w > 0) & (above == order[:, None])
+        k, i = goes_on.argmax(axis=1), np.arange(len(at))
+        head = np.where(goes_on.any(axis=1), heads[np.arange(n)[:, None], near.j[k, i]], q["z"][at])
+        orders[:, at], heads[:, at] = np.where(on, order, np.nan), np.where(on, head, np.nan)
+
+    def total(q: Patch, sources: np.ndarray, s: dict) -> dict[str, float]:
+        """Sums of a tile's stream cells."""
+        orders, heads = q.rims[1 : n + 1], q.rims[n + 1 :]
+        at = np.flatnonzero(q.inside & (s["done"] == 1))
+        on = ~np.isnan(orders[:, at])
+        sums = {p: np.zeros(n) for p in parts}
+        for k, off in enumerate(q.offsets):
+            w, above = sources[k][at], orders[:, at + off]
+            came = on & (w > 0) & ~np.isnan(above)
+            sums["len"] += np.where(came, q.length(k + 1)[at], 0.0).sum(axis=1)
+            ends = came & (above < orders[:, at])
+            drop = np.where(ends, heads[:, at + off] - q["z"][at], 0.0)
             for c, mine in ((1, ends & (above == 1)), (2, ends & (above > 1))):
-                sums[f"n{c}"] += mine
-                sums[f"d{c}"] += np.where(mine, drop, 0.0)
-                sums[f"q{c}"] += np.where(mine, drop**2, 0.0)
-            goes_on = came & (above == order) & ~passed
-            head = np.where(goes_on, heads[:, j], head)
-            passed |= goes_on
-        for n, v in ({"ord": order, "head": head, "len": length} | sums).items():
-            s["blocks"][n][:, at] = np.where(on, v, np.nan)
-
-    found = flow.run([f"{n}{i}" for i in range(len(thresholds)) for n in parts], step)
-    sums = found.agg(*(F.sum(F.nanvl(f"{n}{i}", F.lit(None))).alias(f"{n}{i}") for i in range(len(thresholds)) for n in parts[2:]))
-    rows = sums.select(F.explode(F.array(*(F.struct(F.lit(float(limit)).alias("threshold"), *(F.col(f"{n}{i}").alias(n) for n in parts[2:])) for i, limit in enumerate(thresholds)))).alias("row")).select("row.*")
+                sums[f"n{c}"] += mine.sum(axis=1)
+                sums[f"d{c}"] += np.where(mine, drop, 0.0).sum(axis=1)
+                sums[f"q{c}"] += np.where(mine, drop**2, 0.0).sum(axis=1)
+        return {f"{p}{i}": float(v) for p in parts for i, v in enumerate(sums[p])}
+
+    names = [f"{p}{i}" for p in parts for i in range(n)]
+    found = flow.run([f"{p}{i}" for p in ("ord", "head") for i in range(n)], step, summary=(total, names))
+    sums = found.agg(*(F.sum(c).alias(c) for c in names))
+    rows = sums.select(F.explode(F.array(*(F.struct(F.lit(float(limit)).alias("threshold"), *(F.col(f"{p}{i}").alias(p) for p in parts)) for i, limit in enumerate(thresholds)))).alias("row")).select("row.*")
     # the outlets that drain to no stream give the area
     ends = outlets.select("row", "col").distinct().join(receivers(p, meta).select("row", "col", "r", "c"), ["row", "col"], "left")
     lower = _cells(ssa=ssa).where(F.col("ssa").isNotNull() & (F.col("ssa") >= min(thresholds))).select(F.col("row").alias("r"), F.col("col").alias("c"), F.lit(True).alias("below"))
@@ -195,7 +193,7 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
     values = _cells(z=dem, a=area)
     z_at = lambda r, c, name: values.select(F.col("row").alias(r), F.col("col").alias(c), F.col("z").alias(f"z_{name}"), F.col("a").alias(f"a_{name}"))
     stream_p = _cells(p=on)
-    order = Flow(stream_p, meta, "p", size=size).run(["v"], lambda q, s, at, near: s["v"].__setitem__(at, strahler([(s["v"][j], w) for j, w in near]))).select("row", "col", F.col("v").cast("int").alias("ord"))
+    order = Flow(stream_p, meta, "p", size=size).run(["v"], lambda q, s, at, near: s["v"].__setitem__(at, strahler(s["v"][near.j], near.w))).select("row", "col", F.col("v").cast("int").alias("ord"))
     magnitude = area_d8(on, meta, cells.select("row", "col", F.when(F.col("inflows") == 0, 1.0).otherwise(0.0).alias("value")), check=False, size=size).select(F.col("row").alias("hr"), F.col("col").alias("hc"), F.col("value").cast("long").alias("magnitude"))
     last = to.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("r").alias("er"), F.col("c").alias("ec"), F.col("d").alias("last_step"))
     node = breaks.select(F.col("row").alias("er"), F.col("col").alias("ec"), F.col("node").alias("dsnode"))

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.grid import STEPS, GridMeta
-from ..operators.flow import Flow, Near
-from .tiles import TILE, Patch
+from ..operators.flow import Flow
+from .tiles import TILE, Near, Patch
 
 
 def receivers(p: DataFrame, meta: GridMeta) -> DataFrame:
@@ -42,13 +42,12 @@ def follow(p: DataFrame, meta: GridMeta, stop: DataFrame, most: int | None = Non
         return on
 
     def step(q: Patch, s: dict, at: np.ndarray, near: Near) -> None:
-        found = ends(q, at, 0.0)
-        for k, (j, w) in enumerate(near, 1):
-            goes = (w > 0) & ~np.isnan(s["r"][j])
-            more = (0.0, 0.0, q.length(k)[at], 1.0, 0.0)
-            found = tuple(np.where(goes, s[n][j] + m, v) for n, m, v in zip(names, more, found))
-        for n, v in zip(names, found):
-            s[n][at] = v
+        k, n = (near.w > 0).argmax(axis=0), np.arange(len(at))
+        j = near.j[k, n]
+        goes = (near.w[k, n] > 0) & ~np.isnan(s["r"][j])
+        more = (0.0, 0.0, q.lengths(at)[k, n], 1.0, 0.0)
+        for name, m, v in zip(names, more, ends(q, at, 0.0)):
+            s[name][at] = np.where(goes, s[name][j] + m, v)
 
     found = Flow(cells, meta, "p", upstream=False, size=size).run(names, step, seeds=seeds).where("r >= 0 AND NOT isnan(r)")
     stopped = F.col("stopped") == 1

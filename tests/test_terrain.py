@@ -296,3 +296,52 @@ def test_tiles_that_do_not_settle_are_an_error(spark):
     with pytest.raises(RuntimeError, match="settle"):
         run(1)
     assert run(2).count() == 64
+
+
+def test_a_long_path_settles_in_few_rounds(spark):
+    """Fifty tiles in a row take no round each: they exchange their rims in one task."""
+    from rillflow.plans import tiles
+
+    meta = GridMeta(200, 4)
+    cells = spark.range(800).select((F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"), F.lit(1.0).alias("x"))
+
+    def kernel(p):
+        v = np.where(p.inside, np.nan, p.rim["v"]).reshape(p.h + 2, p.width)
+        for r in range(1, p.h + 1):
+            v[r, 1:-1] = 1 if p.row0 + r == 1 else v[r - 1, 1:-1] + 1
+        return {"v": v.ravel()}
+
+    found = array(tiles.solve(cells, meta, kernel, ["v"], ["v"], size=4, rounds=5), (200, 4), "v")
+    np.testing.assert_array_equal(found, np.repeat(np.arange(1.0, 201)[:, None], 4, 1))
+
+
+@pytest.mark.parametrize("bytes_", [1, 40_000])
+def test_blocks(spark, monkeypatch, bytes_):
+    """Results do not depend on how tiles are dealt to blocks."""
+    from rillflow.plans import tiles
+
+    z = rough(4, (24, 20))
+    filled = brute_fill(z)
+    meta = GridMeta(*z.shape)
+    p = d8_of(spark, filled, meta)
+    ang = checkpointed(direction.dinf_direction(grid(spark, filled), meta).select("row", "col", F.col("ang").alias("value")))
+    area = checkpointed(flow.area_d8(p, meta, check=False))
+    ends = spark.createDataFrame([(22, c, c) for c in range(1, 19)], "row int, col int, id int")
+    mark = (np.random.default_rng(3).random(z.shape) < 0.1).astype(float)
+
+    def results(size):
+        yield array(direction.fill_pits(grid(spark, z), meta, size=size), z.shape)
+        yield array(direction.d8_direction(grid(spark, filled), meta, size), z.shape, "p")
+        yield array(flow.area_d8(p, meta, check=False, size=size), z.shape)
+        yield array(flow.area_d8(p, meta, outlets=ends, size=size), z.shape)
+        yield array(flow.area_dinf(ang, meta, check=False, size=size), z.shape)
+        yield array(flow.avalanche(ang, grid(spark, z), grid(spark, mark), meta, alpha=1.0, size=size), z.shape, "dm")
+        yield array(flow.dist_down(ang, grid(spark, z), grid(spark, mark), meta, "p", "max", size=size), z.shape)
+        drops = network.drop_statistics(p, grid(spark, filled), area, area, ends, meta, [2.0, 4.0], size).orderBy("threshold").collect()
+        assert drops
+        yield np.array([[np.nan if v is None else float(v) for v in r] for r in drops])
+
+    want = list(results(512))
+    monkeypatch.setattr(tiles, "BLOCK_BYTES", bytes_)
+    for a, b in zip(want, results(6)):
+        np.testing.assert_allclose(b, a)
