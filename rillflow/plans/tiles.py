@@ -27,13 +27,15 @@ import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.grid import STEPS, GridMeta
 
 TILE = 512
 #: Bytes of the inputs and results of a block's tiles.
 BLOCK_BYTES = 256 << 20
+#: Rows of a checkpointed table that Spark may broadcast if it finds the files small.
+BROADCAST_ROWS = 100_000
 UNSETTLED = "tiles did not settle"
 Kernel = Callable[["Patch"], dict[str, np.ndarray]]
 
@@ -42,7 +44,8 @@ def checkpointed(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     """df written as Parquet to the shared checkpoint folder and read back, with its lineage cut.
 
     A written table knows its size.  checkpoint() would keep the plan's estimate, and in a
-    loop of joins estimates multiply until planning alone takes minutes.
+    loop of joins estimates multiply until planning alone takes minutes.  Files shrink
+    repeated values and NULLs, so where the rows are too many to broadcast, joins are told to sort.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -55,8 +58,10 @@ def checkpointed(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rillflow-checkpoint-")
         sc.setCheckpointDir(folder)
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.hint("merge") if seen.get["rows"] > BROADCAST_ROWS else out
 
 
 @dataclass

@@ -345,3 +345,11 @@ def test_blocks(spark, monkeypatch, bytes_):
     monkeypatch.setattr(tiles, "BLOCK_BYTES", bytes_)
     for a, b in zip(want, results(6)):
         np.testing.assert_allclose(b, a)
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark):
+    """A checkpoint of few bytes and many rows is joined by sorting."""
+    a, b = (checkpointed(spark.range(300_000).select((F.col("id") / 1000).cast("int").alias("row"), (F.col("id") % 1000).cast("int").alias("col"), F.lit(None).cast("double").alias(n))) for n in "xy")
+    plan = a.join(b, ["row", "col"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert a.join(b, ["row", "col"]).count() == 300_000
