@@ -573,13 +573,9 @@ def _distances(down: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ang, meta = dinf(spark, sf_dir)
         dem, mark = attribute(spark, sf_dir, "dem"), attribute(spark, sf_dir, "mark")
-        out = None
-        for kind in "hvps":
-            for stat in ("ave", "max", "min"):
-                one = flow.dist_down(ang, dem, mark, meta, kind, stat) if down else flow.dist_up(ang, dem, meta, kind, stat, check=False)
-                one = rounded(one).select("row", "col", F.lit(kind).alias("kind"), F.lit(stat).alias("stat"), "value")
-                out = one if out is None else out.unionByName(one)
-        return out
+        found = flow.distances_down(ang, dem, mark, meta) if down else flow.distances_up(ang, dem, meta, check=False)
+        rows = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(stat).alias("stat"), F.col(f"{kind}_{stat}").alias("value")) for kind in "hvps" for stat in ("ave", "max", "min"))))
+        return rounded(found.select("row", "col", rows.alias("d")).select("row", "col", "d.kind", "d.stat", "d.value"))
 
     return run
 

@@ -347,6 +347,20 @@ def test_blocks(spark, monkeypatch, bytes_):
         np.testing.assert_allclose(b, a)
 
 
+def test_distances_together(spark):
+    """All kinds and stats in one evaluation are those found one by one."""
+    z = brute_fill(rough(6, (18, 15), 3) + np.add.outer(3.0 * np.arange(18)[::-1], np.zeros(15)))
+    meta = GridMeta(*z.shape)
+    ang = checkpointed(direction.dinf_direction(grid(spark, z), meta).select("row", "col", F.col("ang").alias("value")))
+    mark = grid(spark, (np.random.default_rng(3).random(z.shape) < 0.1).astype(float))
+    dem = np.where(np.random.default_rng(4).random(z.shape) < 0.05, np.nan, z)
+    down = flow.distances_down(ang, grid(spark, dem), mark, meta).cache()
+    up = flow.distances_up(ang, grid(spark, dem), meta, check=False).cache()
+    for kind in "hvps":
+        np.testing.assert_array_equal(array(down, z.shape, f"{kind}_max"), array(flow.dist_down(ang, grid(spark, dem), mark, meta, kind, "max"), z.shape))
+        np.testing.assert_array_equal(array(up, z.shape, f"{kind}_ave"), array(flow.dist_up(ang, grid(spark, dem), meta, kind, "ave", check=False), z.shape))
+
+
 def test_many_rows_in_small_files_are_not_broadcast(spark):
     """A checkpoint of few bytes and many rows is joined by sorting."""
     a, b = (checkpointed(spark.range(300_000).select((F.col("id") / 1000).cast("int").alias("row"), (F.col("id") % 1000).cast("int").alias("col"), F.lit(None).cast("double").alias(n))) for n in "xy")
