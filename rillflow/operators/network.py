@@ -241,7 +241,15 @@ def stream_net(p: DataFrame, dem: DataFrame, area: DataFrame, stream: DataFrame,
             rows.append((down, up[0][0], -1, up[0][1], up[0][2], int(g["er"].iloc[0]), int(g["ec"].iloc[0])))
         return pd.DataFrame(rows, columns=["here", "us1", "us2", "o", "m", "jr", "jc"])
 
-    ups = checkpointed(joined.groupBy("down").applyInPandas(tree, "here long, us1 long, us2 long, o int, m long, jr int, jc int"))
+    # one or two links, as nearly everywhere, need no Python
+    met = joined.groupBy("down").agg(F.sort_array(F.collect_list(F.struct((-F.col("strmorder")).alias("o"), "link", "magnitude", "er", "ec"))).alias("up"))
+    a, b = F.get("up", F.lit(0)), F.get("up", F.lit(1))
+    few = met.where(F.size("up") <= 2).select(
+        F.col("down").cast("long").alias("here"), a["link"].cast("long").alias("us1"), F.coalesce(b["link"].cast("long"), F.lit(-1)).alias("us2"),
+        F.greatest(-a["o"], 1 - b["o"]).cast("int").alias("o"), (a["magnitude"] + F.coalesce(b["magnitude"], F.lit(0))).cast("long").alias("m"), a["er"].alias("jr"), a["ec"].alias("jc"),
+    )
+    many = met.where(F.size("up") > 2).select("down", F.inline("up")).withColumn("strmorder", -F.col("o")).drop("o")
+    ups = checkpointed(few.unionByName(many.groupBy("down").applyInPandas(tree, "here long, us1 long, us2 long, o int, m long, jr int, jc int")))
     extra = ups.where("here < 0")
     renamed = numbered(extra.select(F.col("here").alias("old")), [F.desc("old")], "new").withColumn("new", F.col("new") + n_links)
 
@@ -289,20 +297,21 @@ def catch_outlets(links: DataFrame, p: DataFrame, meta: GridMeta, min_distance:
         at = new
 
     def walk(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rows = {int(r.link): r for r in g.itertuples()}
-        root = rows[int(key[0])]
-        out = []
+        at, to = {link: i for i, link in enumerate(g["link"].tolist())}, int(key[0])
+        us1, us2, start, area = (g[c].to_numpy() for c in ("us1", "us2", "doutstart", "uscontarea"))
+        hr, hc, i = g["hr"].to_numpy(), g["hc"].to_numpy(), at[to]
+        root, out = g.iloc[i], []
         if root.us1 >= 0 or root.dslink < 0:
-            out.append((int(key[0]), 0, int(root.link), int(root.er), int(root.ec), float(root.doutend), True))
-        stack = [(u, 0.0) for u in (root.us2, root.us1) if u >= 0]
+            out.append((to, 0, to, int(root.er), int(root.ec), float(root.doutend), True))
+        stack = [(int(u), 0.0) for u in (us2[i], us1[i]) if u >= 0]
         while stack:
             link, last = stack.pop()
-            r = rows[int(link)]
-            if r.uscontarea > min_area:
-                if r.doutstart - last > min_distance and r.us1 >= 0:
-                    out.append((int(key[0]), len(out), int(r.link), int(r.hr), int(r.hc), float(r.doutstart), False))
-                    last = r.doutstart
-                stack += [(u, last) for u in (r.us2, r.us1) if u >= 0]
+            i = at[link]
+            if area[i] > min_area:
+                if start[i] - last > min_distance and us1[i] >= 0:
+                    out.append((to, len(out), link, int(hr[i]), int(hc[i]), float(start[i]), False))
+                    last = start[i]
+                stack += [(int(u), last) for u in (us2[i], us1[i]) if u >= 0]
         return pd.DataFrame(out, columns=["root", "seq", "link", "row", "col", "dist", "terminal"])
 
     found = tree.join(at, "link").groupBy("to").applyInPandas(walk, "root long, seq long, link long, row int, col int, dist double, terminal boolean")

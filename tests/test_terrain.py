@@ -367,3 +367,17 @@ def test_many_rows_in_small_files_are_not_broadcast(spark):
     plan = a.join(b, ["row", "col"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
     assert a.join(b, ["row", "col"]).count() == 300_000
+
+
+def test_junctions_of_one_to_three_links(spark):
+    """Two links meet without Python; of three, a link of length 0 takes the first two."""
+    p = np.full((7, 7), np.nan)
+    p[1, 2], p[1, 3], p[1, 4], p[2, 3], p[3, 3], p[4, 3], p[3, 2], p[5, 3] = 8, 7, 6, 7, 7, 7, 8, 7
+    meta, z = GridMeta(7, 7), np.add.outer(np.arange(7.0)[::-1], np.zeros(7))
+    pd8 = checkpointed(grid(spark, p).select("row", "col", F.col("value").cast("int").alias("value")))
+    area = checkpointed(flow.area_d8(pd8, meta, check=False))
+    net = {r["link"]: r for r in network.stream_net(pd8, grid(spark, z), area, checkpointed(local.threshold(area, 1)), meta)["links"].collect()}
+    assert {k: (r["us1"], r["us2"], r["dslink"], r["strmorder"], r["magnitude"]) for k, r in net.items()} == {
+        0: (-1, -1, 6, 1, 1), 1: (-1, -1, 6, 1, 1), 2: (-1, -1, 3, 1, 1), 3: (6, 2, 5, 2, 3), 4: (-1, -1, 5, 1, 1), 5: (3, 4, -1, 2, 4), 6: (0, 1, 3, 2, 2)
+    }
+    assert net[6]["length"] == 0
